@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -79,6 +78,8 @@ with np.errstate(over="ignore"):
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_IS_PUNCT = np.zeros(256, bool)
+_IS_PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 #: Bytes hashed at once; bounds the working memory whatever the length of a text.
 SLICE_BYTES = 1 << 20
 
@@ -104,14 +105,20 @@ def _hash_slice(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mix64(h + lens.astype(np.uint64)), starts
 
 
-def hash_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(texts: Iterable[str | None], normalised: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts in order, and the offsets of each text's words (one more than texts).
 
-    Null and empty texts have no words. Works on slices of SLICE_BYTES cut between words.
+    Words are runs of characters other than space and tab to carriage return; null and empty texts have none. With
+    normalised, texts are first lower-cased and freed of ASCII punctuation. Works on slices of SLICE_BYTES that are cut
+    between words.
     """
-    blobs = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
-    starts_of = np.concatenate(([0], np.cumsum([len(b) + 1 for b in blobs]))) if blobs else np.zeros(1, np.int64)
+    blobs = [b"" if t is None else (t.lower() if normalised else t).encode("utf-8", "surrogatepass") for t in texts]
+    starts_of = np.concatenate(([0], np.cumsum([len(b) + 1 for b in blobs], dtype=np.int64))) if blobs else np.zeros(1, np.int64)
     buf = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
+    if normalised:
+        keep = ~_IS_PUNCT[buf]
+        starts_of = np.concatenate(([0], np.cumsum(keep)))[np.minimum(starts_of, len(buf))]
+        buf = buf[keep]
     hashes, starts, at = [], [], 0
     while at < len(buf):
         end = min(at + SLICE_BYTES, len(buf))
@@ -139,9 +146,13 @@ def text_groups(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tup
         yield at, len(texts)
 
 
-_PUNCT = re.compile(r"[^\w\s]+|_+")
-
-
-def normalise(text: str | None) -> str:
-    """Lower case, punctuation removed: what duplicates and quotations are compared on."""
-    return "" if text is None else _PUNCT.sub("", text.lower())
+def ngrams(h: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all n-word sequences within texts: hash, position of the first word, number of the text."""
+    if len(h) < n:
+        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    g = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        g = mix64(g * np.uint64(0x9E3779B97F4A7C15) + h[k : len(h) - n + 1 + k])
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    inside = np.flatnonzero(text[: len(g)] == text[n - 1 :])
+    return g[inside], inside, text[inside]

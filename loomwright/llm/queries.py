@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pii, quality
-from .common import documents
+from . import decontam, packing, pii, quality
+from .common import documents, table
 
 
 def default_tokenizer() -> str:
@@ -21,6 +21,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -30,7 +34,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op2_pii, op5_decontamination, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
