@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, pii, quality
+from . import decontam, ngram_join, packing, pii, quality
 from .common import documents, table
 
 
@@ -17,6 +17,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
@@ -34,7 +38,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_pii, op5_decontamination, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op5_decontamination, op8_quality, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
