@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +60,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]
     return out if how in ("left_semi", "left_anti") else out.drop(*[right[b] for _, b in keys])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: as a lambda variable, it is not copied to each place that uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % n

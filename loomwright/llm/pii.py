@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, null_safe_join
+from .common import let, materialize, null_safe_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Possessive quantifiers and the look-behinds change no match (what follows a run can't be in it, and a
@@ -42,7 +42,7 @@ def located(text: Column, pattern: str) -> Column:
     """
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(match, F.slice(gaps, 1, F.size(match)), lambda v, g: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), v.alias("v")))
+    pairs = let(match, lambda m: F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda v, g: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), v.alias("v"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
     def step(acc, x):
@@ -57,14 +57,15 @@ def _digits(v: Column) -> Column:
 
 
 def _luhn(v: Column) -> Column:
-    back = F.reverse(_digits(v))
 
-    def add(acc, i):
-        d = F.substring(back, i, 1).cast("int")
-        twice = d * 2
-        return acc + F.when(i % 2 == 1, d).otherwise(F.when(twice > 9, twice - 9).otherwise(twice))
+    def total(back):
+        def add(acc, i):
+            d = F.substring(back, i, 1).cast("int")
+            return acc + F.when(i % 2 == 1, d).otherwise(F.when(d > 4, d * 2 - 9).otherwise(d * 2))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), add) % 10 == 0
+        return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), add)
+
+    return let(F.reverse(_digits(v)), total) % 10 == 0
 
 
 def _holds(kind: str, v: Column) -> Column:
@@ -102,7 +103,7 @@ def _context_terms(text: Column, spans: Column) -> Column:
         lo = F.greatest(x["s"] - CONTEXT, F.lit(0))
         hi = F.least(x["e"] + CONTEXT, F.length(text))
         part = F.substring(text, lo + 1, hi - lo)
-        terms = F.transform(located(part, TERM), lambda t: F.struct(x["k"].alias("kind"), F.lower(x["v"]).alias("entity"), F.xxhash64(part).alias("context"), F.lower(t["v"]).alias("term"), (t["s"] + lo).alias("s"), (t["e"] + lo).alias("e")))
+        terms = let(part, lambda p: F.transform(located(p, TERM), lambda t: F.struct(x["k"].alias("kind"), F.lower(x["v"]).alias("entity"), F.xxhash64(p).alias("context"), F.lower(t["v"]).alias("term"), (t["s"] + lo).alias("s"), (t["e"] + lo).alias("e"))))
         whole = lambda t: ((t["s"] > lo) | (lo == 0)) & ((t["e"] < hi) | (hi == F.length(text)))
         return F.filter(terms, lambda t: whole(t) & ~F.exists(spans, lambda y: (t["s"] < y["e"]) & (y["s"] < t["e"])))
 
@@ -119,17 +120,21 @@ def findings(docs: DataFrame) -> DataFrame:
 
 def disclosive(docs: DataFrame, found: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, share): terms whose PMI reaches the share `generalise` of the entity's information content."""
-    near = found.select(F.explode("terms").alias("x")).select("x.*")
+    near = found.select("doc_id", "key", F.explode("terms").alias("x")).select("doc_id", "key", "x.*")
     joint = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("n_te"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= least)
-    pairs = materialize(joint.select("entity", "term", "n_te"), "pii-pairs")
+    entities = found.select(F.explode("spans").alias("x")).groupBy(F.lower("x.v").alias("entity")).agg(F.count(F.lit(1)).alias("n_e"))
+    size = float(found.agg(F.sum("n_chars").alias("n")).first()["n"] or 1)
+
+    def share(n_t: str) -> Column:
+        return F.lit(1.0) + F.log(F.least(F.col("n_te") / F.col(n_t), F.lit(1.0))) / F.log(F.greatest(F.lit(size) / F.col("n_e"), F.lit(2.0)))
+
+    # a term occurs at least as often as near any entity: most pairs end here, before the corpus is counted
+    seen = near.select("doc_id", "key", "s", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    pairs = materialize(joint.join(seen, "term").join(entities, "entity").filter(share("n_near") >= generalise).select("entity", "term", "n_te", "n_e"), "pii-pairs")
     wanted = materialize(pairs.select("term").distinct(), "pii-terms")
     words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+")).alias("term"))
     total = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    entities = found.select(F.explode("spans").alias("x")).groupBy(F.lower("x.v").alias("entity")).agg(F.count(F.lit(1)).alias("n_e"))
-    size = found.agg(F.sum("n_chars").alias("n")).first()["n"] or 1
-    rated = pairs.join(total, "term").join(entities, "entity")
-    share = F.lit(1.0) + F.log(F.least(F.col("n_te") / F.col("n_t"), F.lit(1.0))) / F.log(F.greatest(F.lit(float(size)) / F.col("n_e"), F.lit(2.0)))
-    return rated.select("entity", "term", share.alias("share")).filter(F.col("share") >= generalise)
+    return pairs.join(total, "term").select("entity", "term", share("n_t").alias("share")).filter(F.col("share") >= generalise)
 
 
 def term_spans(found: DataFrame, pairs: DataFrame, remove: float = REMOVE) -> DataFrame:
