@@ -12,11 +12,12 @@ hold at least the support fraction of the group. Steps read the small statistics
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, discard, materialize, null_safe_join
+from .common import SPACE_CLASS, discard, let, materialize, null_safe_join
 
 #: Statistics of the outlier rule and the least spread each is given (its square is added to the variance), so that
 #: a statistic that is nearly always zero neither makes the scatter singular nor rejects a single occurrence.
@@ -61,27 +62,34 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 def _windows(h: Column) -> Column:
     """Hashes of all windows of 8 words, from word hashes, by three doublings."""
     for step in (1, 2, 4):
-        n = F.size(h) - step
-        h = F.zip_with(F.slice(h, 1, n), F.slice(h, step + 1, n), lambda a, b: F.xxhash64(a, b))
+        h = let(h, _doubling(step))
     return h
 
 
+def _doubling(step: int) -> Callable[[Column], Column]:
+    return lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) - step), F.slice(x, F.lit(step + 1), F.size(x) - step), lambda a, b: F.xxhash64(a, b))
+
+
 def _covered(h: Column) -> Column:
     """How many words lie in windows whose hash occurs twice or more.
 
     Windows sorted by (hash, position): one is repeated if a neighbour has its hash. In order of position, each
     repeated window adds the words up to the next one, at most 8.
     """
-    order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    n = F.size(h)
     none = F.array(F.lit(None).cast("struct<h:bigint,i:int>"))
-    before = F.concat(none, F.slice(order, 1, n - 1))
-    same = F.zip_with(order, before, lambda a, b: F.struct(a["i"].alias("i"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("s")))
-    after = F.concat(F.slice(same, 2, n - 1), F.array(F.struct(F.lit(0).alias("i"), F.lit(False).alias("s"))))
-    twice = F.zip_with(same, after, lambda a, b: F.when(a["s"] | b["s"], a["i"]))
-    at = F.array_sort(F.filter(twice, lambda i: i.isNotNull()))
-    far = F.concat(F.slice(at, 2, F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.lit(2**30)))
-    return F.aggregate(F.zip_with(at, far, lambda a, b: F.least(b - a, F.lit(WINDOW_WORDS))), F.lit(0), lambda s, x: s + x)
+    last = F.array(F.struct(F.lit(0).alias("i"), F.lit(False).alias("s")))
+
+    def starts(order):
+        before = F.concat(none, F.slice(order, F.lit(1), F.size(order) - 1))
+        same = F.zip_with(order, before, lambda a, b: F.struct(a["i"].alias("i"), F.coalesce(a["h"] == b["h"], F.lit(False)).alias("s")))
+        return let(same, lambda x: F.zip_with(x, F.concat(F.slice(x, F.lit(2), F.size(x) - 1), last), lambda a, b: F.when(a["s"] | b["s"], a["i"])))
+
+    def total(at):
+        far = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.lit(2**30)))
+        return F.aggregate(F.zip_with(at, far, lambda a, b: F.least(b - a, F.lit(WINDOW_WORDS))), F.lit(0), lambda s, x: s + x)
+
+    order = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return let(F.array_sort(F.filter(let(order, starts), lambda i: i.isNotNull())), total)
 
 
 def base_failed() -> Column:
