@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, ngram_join, packing, pii, quality, urls
+from . import chat, decontam, langid, ngram_join, packing, pii, quality, toxicity, urls
 from .common import documents, table
 
 
@@ -51,12 +51,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), default_tokenizer(), seq_len=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_language, op4_chat, op5_decontamination, op6_urls, op8_quality, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_language, op4_chat, op5_decontamination, op6_urls, op8_quality, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
