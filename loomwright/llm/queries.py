@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, ngram_join, packing, pii, quality, toxicity, urls
+from . import chat, decontam, langid, lmscore, ngram_join, packing, pii, quality, toxicity, urls
 from .common import documents, table
 
 
@@ -47,6 +48,12 @@ def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the texts labelled as of good quality."""
+    good = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select("doc_id")
+    return lmscore.score(documents(spark, sf_dir), good)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
 
@@ -60,7 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_language, op4_chat, op5_decontamination, op6_urls, op8_quality, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_language, op4_chat, op5_decontamination, op6_urls, op7_lm_score, op8_quality, op9_toxicity, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
