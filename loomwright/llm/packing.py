@@ -14,8 +14,12 @@ carry over windows and partitions by arithmetic. The driver sees one row per sou
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,20 +30,36 @@ from .common import discard, materialize
 
 FRACTION = 1 << 16
 #: Chunks kept per worker for encoding, and the longest chunk that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
+
+
+class _Known(dict):
+    """Ids of chunks, encoded when first asked for. Forgets all at CACHE_ENTRIES; long chunks are not kept."""
+
+    def __init__(self, encode: Callable[[str], list[int]], prefix: str, code: str):
+        super().__init__()
+        self.encode, self.prefix, self.code = encode, prefix, code
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array(self.code, self.encode(self.prefix + chunk)).tobytes()
+        if len(chunk) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
     """Token ids of texts by the given tokenizer file, as uint16 or uint32 bytes.
 
     Byte-level pre-tokenisation never joins across a single space between two non-space characters, so a text's
-    ids are those of its chunks " word"; these are remembered, bounded by CACHE_ENTRIES. Unlike the tokenizer's own
-    cache this one skips its normaliser, splitter and offsets.
+    ids are those of its chunks " word"; these are remembered, and only new ones are encoded, by a merge engine that is built
+    from the same file. A text's first chunk has no space before it and is remembered apart. Tokenizers that are not plain
+    byte-level BPE encode whole texts.
     """
 
     def __init__(self, path: str):
         import os
-        import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -47,38 +67,53 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[str, bytes] = {}
+        code = "H" if self.kind.itemsize == 2 else "I"
+        self.merger = _merger(path)
+        if self.merger:
+            self.heads, self.chunks = _Known(self.merger.encode_ordinary, "", code), _Known(self.merger.encode_ordinary, " ", code)
         self.double = re.compile(r"\s\s")
         self.cut = re.compile(r"(?<=\S) (?=\S)")
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        missing: dict[str, None] = {}
-        cache = self.cache
+        if not self.merger:
+            return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        out, known = [], self.chunks.__getitem__
         for t in texts:
-            chunks = self.cut.split(t) if self.double.search(t) else t.split(" ")
-            own = [chunks[0]] + [" " + c for c in chunks[1:]]
-            parts.append(own)
-            missing.update((c, None) for c in own if c not in cache)
-        if len(cache) + len(missing) > CACHE_ENTRIES:
-            cache = self.cache = {}
-            missing = dict.fromkeys(c for own in parts for c in own)
-        want = list(missing)
-        got = dict(zip(want, self._whole(want), strict=True))
-        cache.update((c, b) for c, b in got.items() if len(c) <= CACHE_CHARS)
-        look = cache if len(got) == 0 else {**got}
-        out = []
-        for own in parts:
-            try:
-                out.append(b"".join([cache[c] for c in own]))
-            except KeyError:
-                out.append(b"".join([cache[c] if c in cache else look[c] for c in own]))
+            parts = self.cut.split(t) if self.double.search(t) else t.split(" ")
+            out.append(self.heads[parts[0]] + b"".join(map(known, islice(parts, 1, None))))
         return out
 
 
+#: The pre-tokenisation pattern of byte-level tokenizers.
+BYTE_LEVEL_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def _merger(path: str):
+    """A faster merge engine with the file's own vocabulary, or None if the file is not plain byte-level BPE.
+
+    Equal ids need that each id is its merge's rank; that holds if merge k makes the k-th id after the 256 bytes.
+    """
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model["type"] != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or spec.get("normalizer") or spec.get("post_processor") or model.get("ignore_merges"):
+        return None
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    byte = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    vocab = model["vocab"]
+    if any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(merges)):
+        return None
+    own = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if t not in own}
+    return tiktoken.Encoding("file", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
