@@ -554,3 +554,6 @@ def loss_log_lines(spark, sf_dir):
 @query("SELECT DISTINCT lower(replace(c_mktsegment || '_Dataset', '_', '')) AS key FROM customer")
 def class_lookup_key(spark, sf_dir):
     return read(spark, sf_dir, "customer").select(text.class_key(F.concat("c_mktsegment", F.lit("_Dataset"))).alias("key")).distinct()
+
+
+from . import catalog_media  # noqa: E402, F401  its queries register themselves
