@@ -5,7 +5,9 @@ loss l and classifier f, the risk is p * E_P[l(f)] + max(0, E_U[l(-f)] - p * E_P
 clean texts without any, and its lower bound keeps the estimate from going negative, as it would when P is overfitted.
 
 Training texts are bounded samples, chosen by a hash of the id; every document is scored whole. Features are
-64-bit word hashes that are significantly more frequent in P than in U. Only hashes and weights reach the driver.
+64-bit word hashes that are significantly more frequent in P than in U, and one that tells whether any telling word occurs:
+a word whose share of U is about what toxic texts in U explain, prior * share of P. Only hashes and weights reach
+the driver.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, hash_words, materialize, text_groups
 
 #: Bounds of the training samples (in expectation), and of a training text's different words.
-POSITIVES, UNLABELLED = 4_000, 12_000
+POSITIVES, UNLABELLED = 8_000, 16_000
 FEATURES = 4_000
+#: Least share of a telling word's texts that toxic ones explain.
+TELLING = 0.75
 
 
 def _presence(rows: DataFrame) -> DataFrame:
@@ -58,15 +62,27 @@ def choose_features(pos: list[np.ndarray], unl: list[np.ndarray], least_texts: i
     return np.sort(words[best[z[best] >= least_z]])
 
 
+def telling_words(pos: list[np.ndarray], unl: list[np.ndarray], features: np.ndarray, prior: float) -> np.ndarray:
+    """Which features are telling: prior * share of pos is at least TELLING of the share of unl."""
+    p, u = (Sparse(texts, features, np.zeros(len(features), bool)).shares() for texts in (pos, unl))
+    return prior * p >= TELLING * u
+
+
 class Sparse:
-    """Presence matrix of texts by chosen features."""
+    """Presence matrix of texts by chosen features, and a last column for any telling one."""
 
-    def __init__(self, texts: list[np.ndarray], features: np.ndarray):
+    def __init__(self, texts: list[np.ndarray], features: np.ndarray, telling: np.ndarray):
         flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
         row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
         at = np.minimum(np.searchsorted(features, flat), max(len(features) - 1, 0))
         hit = features[at] == flat if len(features) else np.zeros(len(flat), bool)
-        self.row, self.col, self.shape = row[hit], at[hit], (len(texts), len(features))
+        row, at = row[hit], at[hit]
+        any_row = np.unique(row[telling[at]])
+        self.row, self.col = np.append(row, any_row), np.append(at, np.full(len(any_row), len(features)))
+        self.shape = (len(texts), len(features) + 1)
+
+    def shares(self) -> np.ndarray:
+        return np.bincount(self.col, minlength=self.shape[1])[:-1] / self.shape[0]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.shape[0])
@@ -128,7 +144,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, pri
     count = known.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("p")).first()
     n_toxic = int(count["p"] or 0)
     share = min(max(prior if prior is not None else n_toxic / max(1, count["n"]), 1e-3), 0.5)
-    weights, bias, features = np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0, np.uint64)
+    weights, bias, features, telling = np.zeros(1), float(np.log(share / (1 - share))), np.zeros(0, np.uint64), np.zeros(0, bool)
     if n_toxic:
         chosen = materialize(_sample(known.filter(F.col("toxic") == 1), n_toxic, positives).select("doc_id").distinct(), "toxic-ids")
         train_rows = rows.filter(~F.col("held_out") & F.col("text").isNotNull())
@@ -136,7 +152,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, pri
         unl = _collect(_sample(train_rows, train_rows.select("doc_id").count(), unlabelled))
         features = choose_features(pos, unl)
         if len(features):
-            weights, bias = train(Sparse(pos, features), Sparse(unl, features), share)
+            telling = telling_words(pos, unl, features, share)
+            weights, bias = train(Sparse(pos, features, telling), Sparse(unl, features, telling), share)
 
     def run(batches):
         for b in batches:
@@ -148,8 +165,10 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, pri
                     at = np.minimum(np.searchsorted(features, h), len(features) - 1)
                     hit = np.flatnonzero(features[at] == h)
                     text = np.searchsorted(off, hit, "right") - 1
-                    pairs = np.unique(text * len(features) + at[hit])
+                    own = at[hit]
+                    pairs = np.unique(text * len(features) + own)
                     f += np.bincount(pairs // len(features), weights[pairs % len(features)], hi - lo)
+                    f[np.unique(text[telling[own]])] += weights[-1]
                 out.append(_sigmoid(f))
             s = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= cut).astype(np.int32), pa.int32())], names=[x.split()[0] for x in SCORED.split(", ")])
