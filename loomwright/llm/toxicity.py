@@ -101,7 +101,7 @@ def nn_risk(f_pos: np.ndarray, f_unl: np.ndarray, prior: float) -> tuple[float,
     return prior * loss(f_pos).mean(), loss(-f_unl).mean() - prior * loss(-f_pos).mean()
 
 
-def train(pos: Sparse, unl: Sparse, prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def train(pos: Sparse, unl: Sparse, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and intercept that minimise the non-negative risk, by Adam over whole samples.
 
     Where the estimate for negatives is below zero, its gradient is followed upwards alone, as the method has it.
