@@ -210,15 +210,13 @@ def _join_model(stats: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
     return null_safe_join(stats, right, [(c, f"__{c}") for c in by], "left")
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """One row per document: columns keep (default doc_id), the base statistics, base_failed, d2, kept.
+def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns keep with the base statistics, base_failed, d2 and kept.
 
-    Defined cases: a null or empty text has no words and fails; null lang or source is a group like any other; a group
-    of under LEAST_GROUP documents is judged by the estimate of all documents; identical rows get identical
-    verdicts; an empty table gives no rows; further columns are ignored, whatever their names.
+    What is kept is written beside the statistics once, so a verdict comes back to its row without a join; the steps of the fit
+    read the statistics' columns alone.
     """
-    keep = keep or ["doc_id"]
-    named = docs.select(*(F.col(c).alias(c) for c in keep), F.col("text"), F.col("lang").alias("g_lang"), F.col("source").alias("g_source"))
+    named = docs.select(*keep, "text", F.col("lang").alias("g_lang"), F.col("source").alias("g_source"))
     stats = materialize(vector(text_statistics(named, [*keep, "g_lang", "g_source"])).withColumn("base_failed", base_failed()), "quality-stats")
     sound = stats.filter(~F.col("base_failed"))
     by = ["g_lang", "g_source"]
@@ -232,13 +230,17 @@ def judge(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return far.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "d2")
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns, judged on (doc_id, text).
+def judge(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, the base statistics, base_failed, kept, d2 (null where no group has an estimate).
 
-    The rejected rows' keys are removed by an anti-join on the id and a hash of the text, so that a repeated id with
-    another text is judged by its own text.
+    Defined cases: a null or empty text has no words and fails; null lang or source is a group like any other; a group
+    of under LEAST_GROUP documents is judged by the estimate of all documents; identical rows get identical
+    verdicts; an empty table gives no rows; further columns are ignored, whatever their names.
     """
-    mark = F.xxhash64("text")
-    keyed = docs.withColumn("__key", mark)
-    bad = judge(keyed, ["doc_id", "__key"]).filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__key").alias("__bad")).distinct()
-    return null_safe_join(keyed, materialize(bad, "quality-bad"), [("doc_id", "__id"), ("__key", "__bad")], "left_anti").drop("__key")
+    return _judged(docs.select("doc_id", "text", "lang", "source"), ["doc_id"])
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that pass, with all their columns. Each row is judged by itself, repeated ids included."""
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), "text", "lang", "source")
+    return _judged(whole, ["__row"]).filter("kept").select("__row.*")
