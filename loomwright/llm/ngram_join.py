@@ -305,3 +305,20 @@ def keep_first(docs: DataFrame) -> DataFrame:
     twice = materialize(joined.groupBy("doc_id").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("__id")), "join-twice")
     single = null_safe_join(kept, twice, [("doc_id", "__id")], "left_anti")
     return single.unionByName(null_safe_join(kept, twice, [("doc_id", "__id")], "left_semi").dropDuplicates(["doc_id"]))
+
+
+#: The same by comparing all texts that share an n-gram; feasible where no n-gram is in very many texts.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+d AS (SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) > 0 THEN count(*) OVER (PARTITION BY s) ELSE 1 END AS copies FROM s),
+e AS (SELECT doc_id, n, unnest(s) AS g FROM d),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n AS nx, b.n AS ny, count(*) AS shared FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE shared >= 0.8 * (nx + ny - shared) - 1e-9),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT r.doc_id, l.y FROM r JOIN l ON r.root = l.x),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY doc_id),
+k AS (SELECT x, count(*) AS links FROM l GROUP BY x)
+SELECT d.doc_id, c.class_id, coalesce(k.links, 0) AS n_links, d.copies AS n_copies, CAST(d.n AS INTEGER) AS n_shingles
+FROM d JOIN c USING (doc_id) LEFT JOIN k ON k.x = d.doc_id
+"""

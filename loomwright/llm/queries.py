@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": chat.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op4_chat": chat.ORACLE}

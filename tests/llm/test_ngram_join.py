@@ -98,3 +98,15 @@ def test_linked_matrix_and_components(spark):
     edges = [(k, k + 1) for k in range(40) if k % 10] + [(100, 100), (5, 95)]
     roots = {r["node"]: r["root"] for r in nj.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert roots[95] == 1 and roots[29] == 21 and 100 not in roots and roots[1] == 1
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from loomwright.llm.queries import oracle_sql
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(oracle_sql()["op1_ngram_join"])
+    assert sorted(map(tuple, op1_ngram_join(spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
