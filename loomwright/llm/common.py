@@ -28,6 +28,28 @@ def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
 
 
+#: Paths of the tables that this process has materialized, in order.
+_MADE: list[str] = []
+
+
+def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Remove the tables materialized after the first `since` ones, but for `keep`: what led to it is no longer needed."""
+    kept = [p for p in _MADE[since:] if p == getattr(keep, "_shared_path", None)]
+    for path in _MADE[since:]:
+        if path not in kept:
+            _remove(spark, path)
+    _MADE[since:] = kept
+
+
+def made() -> int:
+    return len(_MADE)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor costs a re-read, never a recomputation.
 
@@ -36,6 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -45,9 +68,7 @@ def discard(df: DataFrame) -> None:
     """Remove the files of a materialized table that nothing reads any more."""
     path = getattr(df, "_shared_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _remove(df.sparkSession, path)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:

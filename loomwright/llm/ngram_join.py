@@ -27,6 +27,8 @@ from .common import discard, hash_words, materialize, mix64, ngrams, null_safe_j
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
+#: N-grams in one side of a comparison; bounds a task's memory where texts are long.
+BLOCK_SHINGLES = 1_000_000
 
 
 def bands_and_rows(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -109,14 +111,17 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
 
 def band_groups(classes: DataFrame, block: int) -> DataFrame:
-    """(group, side, band, rid): which representatives to compare. In a group with a side 1, only across the sides."""
-    marks = classes.select("rid", F.posexplode("bands").alias("band", "mark")).select("rid", "band", F.xxhash64("band", "mark").alias("key"))
-    full = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    members = materialize(marks.join(full, "key"), "join-members")
-    few = members.filter(F.col("n") <= block).groupBy("key").agg(F.min("band").alias("band"), F.array_sort(F.collect_list("rid")).alias("rids"))
+    """(group, side, band, rid): which representatives to compare. In a group with a side 1, only across the sides.
+
+    A bucket is split in parts of about `block` members and BLOCK_SHINGLES n-grams at most, each compared with each.
+    """
+    marks = classes.select("rid", "size", F.posexplode("bands").alias("band", "mark")).select("rid", "band", "size", F.xxhash64("band", "mark").alias("key"))
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    full = marks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), parts.alias("parts")).filter(F.col("n") > 1).select("key", "parts")
+    members = materialize(marks.drop("size").join(full, "key"), "join-members")
+    few = members.filter(F.col("parts") == 1).groupBy("key").agg(F.min("band").alias("band"), F.array_sort(F.collect_list("rid")).alias("rids"))
     lists = few.groupBy("rids").agg(F.min("band").alias("band")).select(F.xxhash64("rids").alias("group"), F.lit(0).alias("side"), "band", F.explode("rids").alias("rid"))
-    parts = F.ceil(F.col("n") / block).cast("int")
-    many = members.filter(F.col("n") > block).select("key", "band", "rid", parts.alias("parts"), F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / block)).cast("int").alias("own"))
+    many = members.filter(F.col("parts") > 1).select("key", "band", "rid", "parts", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int").alias("own"))
     with_other = many.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     pairs = with_other.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"), F.lit("pair")).alias("group"), (F.col("own") > F.col("other")).cast("int").alias("side"), "band", "rid")
     return lists.unionByName(pairs)
@@ -218,8 +223,9 @@ def verify(groups: DataFrame, sets: DataFrame, classes: DataFrame, threshold: fl
     def run(batches):
         group, own, out = None, [], []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("group", "side", "band", "rid", "n", "bands", "shingles")]
-            for r in zip(*cols, strict=True):
+            cols = [b.column(c) for c in ("group", "side", "band", "rid", "n", "bands", "shingles")]
+            for k in range(b.num_rows):
+                r = tuple(c[k].as_py() for c in cols)
                 if r[0] != group:
                     out.extend(compare(own))
                     group, own = r[0], []
@@ -279,7 +285,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     """
     bands, rows = bands_and_rows(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "join-signed")
-    grouped = signed.filter(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    grouped = signed.filter(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("rid"), "*"), "join-classes")
     groups = materialize(band_groups(classes, block), "join-groups")
     wanted = classes.join(groups.select("rid").distinct(), "rid", "left_semi").select("rid", "first_id", "s1", "s2")
