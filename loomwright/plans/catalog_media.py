@@ -75,12 +75,12 @@ def side_by_side(spark, sf_dir):
 
 
 @query(
-    "SELECT i AS id, p AS phase, 'python ' || p || '.py --lambda_NCE ' || l || ' --model cut --name run' || i || '_exp' AS command, CAST(i // 4 AS BIGINT) AS win, CAST(i % 4 AS BIGINT) AS pane FROM (SELECT unnest(range(6)) AS i), (SELECT unnest(['train', 'test']) AS p), (SELECT unnest(['1.0', '10.0', '1.0', '10.0', '1.0', '10.0']) AS l, unnest(range(6)) AS j) WHERE i = j"
+    "SELECT i AS id, p AS phase, 'python ' || p || '.py --lambda_NCE ' || l || ' --model main --name run' || i || '_exp' AS command, CAST(i // 4 AS BIGINT) AS win, CAST(i % 4 AS BIGINT) AS pane FROM (SELECT unnest(range(6)) AS i), (SELECT unnest(['train', 'test']) AS p), (SELECT unnest(['1.0', '10.0', '1.0', '10.0', '1.0', '10.0']) AS l, unnest(range(6)) AS j) WHERE i = j"
 )
 def experiment_commands(spark, sf_dir):
     """Six runs in two phases: common options expanded, rendered, laid out in windows of four panes."""
     runs = [{"name": f"run{i}_exp", "lambda_NCE": "10.0" if i % 2 else "1.0"} for i in range(6)]
-    return experiments.layout(experiments.commands(spark, "demo", {"model": "cut"}, runs), 4).select("id", "phase", "command", "win", "pane")
+    return experiments.layout(experiments.commands(spark, "demo", {"model": "main"}, runs), 4).select("id", "phase", "command", "win", "pane")
 
 
 @query(
@@ -88,11 +88,11 @@ def experiment_commands(spark, sf_dir):
 )
 def experiment_names(spark, sf_dir):
     """What a comparison page of selected runs needs."""
-    c = experiments.commands(spark, "demo", {"model": "cut"}, [{"name": f"run{i}_exp"} for i in range(6)], ("test",))
+    c = experiments.commands(spark, "demo", {"model": "main"}, [{"name": f"run{i}_exp"} for i in range(6)], ("test",))
     return experiments.names(experiments.select(c, [1, 3, 5])).select("id", "name", "epoch", "results")
 
 
 @query()
 def options_dump(spark, sf_dir):
     """Resolved options of the fast mode, by key, with what differs from the defaults."""
-    return options.dump(spark, options.resolve({"CUT_mode": "FastCUT"}), options.declared())
+    return options.dump(spark, options.resolve({"contrast_mode": "fast"}), options.declared())

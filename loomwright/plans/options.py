@@ -12,7 +12,7 @@ from loomwright.functions.text import option_line
 
 # The options' names and defaults. None stands for "no limit" and "not given".
 BASE: dict[str, Any] = dict(
-    dataroot="placeholder", name="experiment_name", easy_label="experiment_name", gpu_ids="0", checkpoints_dir="./checkpoints", model="cut", input_nc=3, output_nc=3, ngf=64, ndf=64,
+    dataroot="placeholder", name="experiment_name", easy_label="experiment_name", gpu_ids="0", checkpoints_dir="./checkpoints", model="main", input_nc=3, output_nc=3, ngf=64, ndf=64,
     netD="basic", netG="resnet_9blocks", n_layers_D=3, normG="instance", normD="instance", init_type="xavier", init_gain=0.02, no_dropout=True, no_antialias=False, no_antialias_up=False,
     dataset_mode="unaligned", direction="AtoB", serial_batches=False, num_threads=4, batch_size=1, load_size=286, crop_size=256, max_dataset_size=None, preprocess="resize_and_crop", no_flip=False,
     display_winsize=256, random_scale_max=3.0, epoch="latest", verbose=False, suffix="", stylegan2_G_num_downsampling=1,
@@ -24,27 +24,27 @@ TRAIN: dict[str, Any] = dict(
 )
 TEST: dict[str, Any] = dict(results_dir="./results/", phase="test", eval=False, num_test=50)
 MODELS: dict[str, dict[str, Any]] = {
-    "cut": dict(CUT_mode="CUT", lambda_GAN=1.0, lambda_NCE=1.0, nce_idt=False, nce_layers="0,4,8,12,16", nce_includes_all_negatives_from_minibatch=False, netF="mlp_sample", netF_nc=256, nce_T=0.07, num_patches=256, flip_equivariance=False),
-    "sincut": dict(lambda_R1=1.0, lambda_identity=1.0),
-    "cycle_gan": dict(lambda_A=10.0, lambda_B=10.0, lambda_identity=0.5),
+    "main": dict(contrast_mode="full", lambda_GAN=1.0, lambda_NCE=1.0, nce_idt=False, nce_layers="0,4,8,12,16", nce_includes_all_negatives_from_minibatch=False, netF="mlp_sample", netF_nc=256, nce_T=0.07, num_patches=256, flip_equivariance=False),
+    "single_image": dict(lambda_R1=1.0, lambda_identity=1.0),
+    "cycle": dict(lambda_A=10.0, lambda_B=10.0, lambda_identity=0.5),
     "template": dict(lambda_regression=1.0),
 }
 #: What the modes of the main model override.
-CUT_MODES: dict[str, dict[str, Any]] = {
-    "cut": dict(nce_idt=True, lambda_NCE=1.0, pool_size=0),
-    "fastcut": dict(nce_idt=False, lambda_NCE=10.0, flip_equivariance=True, n_epochs=150, n_epochs_decay=50, pool_size=0),
+CONTRAST_MODES: dict[str, dict[str, Any]] = {
+    "full": dict(nce_idt=True, lambda_NCE=1.0, pool_size=0),
+    "fast": dict(nce_idt=False, lambda_NCE=10.0, flip_equivariance=True, n_epochs=150, n_epochs_decay=50, pool_size=0),
 }
 
 
-def declared(model: str = "cut", train: bool = True) -> dict[str, Any]:
-    """All options with the defaults that hold before any overlay. sincut extends cut."""
+def declared(model: str = "main", train: bool = True) -> dict[str, Any]:
+    """All options with the defaults that hold before any overlay. single_image extends main."""
     out = BASE | (TRAIN if train else TEST)
-    if model == "sincut":
-        out |= MODELS["cut"]
+    if model == "single_image":
+        out |= MODELS["main"]
     return out | MODELS[model]
 
 
-def resolve(given: dict[str, Any], model: str = "cut", train: bool = True, dataset_defaults: dict[str, Any] | None = None) -> Any:
+def resolve(given: dict[str, Any], model: str = "main", train: bool = True, dataset_defaults: dict[str, Any] | None = None) -> Any:
     """The frozen options: given over dataset defaults over model defaults over base defaults. Unknown names raise.
 
     In test, images are loaded at the crop size unless told otherwise. A suffix template is filled in and put after the name.
@@ -52,7 +52,7 @@ def resolve(given: dict[str, Any], model: str = "cut", train: bool = True, datas
     options = declared(model, train)
     if unknown := set(given) - set(options):
         raise ValueError(f"unknown options: {', '.join(sorted(unknown))}")
-    mode = CUT_MODES[str(given.get("CUT_mode", options.get("CUT_mode", "cut"))).lower()] if model in ("cut", "sincut") else {}
+    mode = CONTRAST_MODES[str(given.get("contrast_mode", options.get("contrast_mode", "full"))).lower()] if model in ("main", "single_image") else {}
     options |= {k: v for k, v in mode.items() if k in options}
     options |= dataset_defaults or {}
     if not train:

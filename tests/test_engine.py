@@ -25,8 +25,8 @@ def test_pool_stream_equals_fold(spark, tmp_path, size):
 
 
 def test_options_precedence(spark):
-    o = options.resolve({"CUT_mode": "FastCUT", "lr": 0.1, "suffix": "{model}_{ngf}"}, "cut")
-    assert (o.lambda_NCE, o.n_epochs, o.lr, o.name) == (10.0, 150, 0.1, "experiment_name_cut_64")
+    o = options.resolve({"contrast_mode": "Fast", "lr": 0.1, "suffix": "{model}_{ngf}"}, "main")
+    assert (o.lambda_NCE, o.n_epochs, o.lr, o.name) == (10.0, 150, 0.1, "experiment_name_main_64")
     assert options.resolve({"lambda_NCE": 3.0}).lambda_NCE == 3.0
     assert options.resolve({}, train=False).load_size == 256
     assert options.resolve({}, dataset_defaults={"load_size": 300}).load_size == 300
@@ -47,9 +47,9 @@ def test_hooks():
 
 
 def test_experiments(spark):
-    c = experiments.commands(spark, "demo", {"model": "cut", "no_flip": ""}, [{"name": "run_one_x"}, {"name": "run_two_x", "model": "cycle", "no_flip": None, "epoch": "5"}])
+    c = experiments.commands(spark, "demo", {"model": "main", "no_flip": ""}, [{"name": "run_one_x"}, {"name": "run_two_x", "model": "cycle", "no_flip": None, "epoch": "5"}])
     got = {(r["id"], r["phase"]): r["command"] for r in c.collect()}
-    assert got[0, "train"] == "python train.py --model cut --name run_one_x --no_flip"
+    assert got[0, "train"] == "python train.py --model main --name run_one_x --no_flip"
     assert got[1, "test"] == "python test.py --epoch 5 --model cycle --name run_two_x"
     assert experiments.select(c, [1]).count() == 2 and experiments.select(c, None).count() == 4
     n = {r["id"]: r for r in experiments.names(c.filter("phase = 'test'")).collect()}
