@@ -11,7 +11,6 @@ every document is scored whole. The driver sees only piece counts (pieces x lang
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
@@ -244,14 +243,13 @@ def identify(docs: DataFrame, vocabulary: str, folds: int = 5, per_language: int
         discard(kept)
 
     def run(batches):
-        letter = re.compile(r"[^\W\d_]")
         for b in batches:
             texts, preds, scores = b.column("text").to_pylist(), [], []
             for lo, hi in text_groups(texts, 1_000_000):
                 part = texts[lo:hi]
                 logs = scorer(pieces, table).score(part) if table is not None else None
                 for k, t in enumerate(part):
-                    if logs is None or t is None or not letter.search(t):
+                    if logs is None or t is None or not any(map(str.isalpha, t)):
                         preds.append("und")
                         scores.append(0.0)
                     else:

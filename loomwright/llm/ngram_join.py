@@ -87,16 +87,16 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(one.sum().view(np.int64)), int(two.sum().view(np.int64))
 
 
-SIGNED = "doc_id long, s1 long, s2 long, size int, bands array<long>"
+SIGNED = "doc_id long, key long, s1 long, s2 long, size int, bands array<long>"
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """One row per document; s1, s2 and bands are null without words."""
+    """One row per document; key is a hash of the text; s1, s2 and bands are null without words."""
 
     def run(batches):
         mh = MinHash(bands, rows)
         for b in batches:
-            texts, ids = b.column("text").to_pylist(), b.column("doc_id")
+            texts, ids, keys = b.column("text").to_pylist(), b.column("doc_id"), b.column("key")
             for lo, hi in text_groups(texts):
                 s1, s2, size, marks = [], [], [], []
                 for s in shingle_sets(texts[lo:hi], n):
@@ -105,9 +105,9 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     s2.append(f[1])
                     size.append(len(s))
                     marks.append(mh.band_hashes(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=[x.split()[0] for x in SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), keys.slice(lo, hi - lo), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(size, pa.int32()), pa.array(marks, pa.list_(pa.int64()))], names=[x.split()[0] for x in SIGNED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, SIGNED)
 
 
 def band_groups(classes: DataFrame, block: int) -> DataFrame:
@@ -274,15 +274,8 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS, recall: float = 0.9999, block: int = 768) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links, n_copies, n_words_sets (size of its n-gram set).
-
-    class_id is the least doc_id of the document's component of links; n_links counts the other documents whose n-gram
-    sets have a Jaccard similarity of at least the threshold, copies included; n_copies those with the same set.
-    Defined cases: texts that are null or without words have no set and no links and are classes of their own; texts of
-    1 to n - 1 words have one n-gram, all their words; repeated rows are copies of each other; an empty table gives
-    no rows; other columns are ignored.
-    """
+def _classified(docs: DataFrame, threshold: float, n: int, recall: float, block: int) -> DataFrame:
+    """One row per document: doc_id, key, size, root (of its component; null without words), class_id, n_links, n_copies."""
     bands, rows = bands_and_rows(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "join-signed")
     grouped = signed.filter(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -298,19 +291,49 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     named = tree.join(classes.select(F.col("rid").alias("node"), "first_id"), "node")
     least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
     joined = classes.select("rid", "s1", "s2", "n", "first_id").join(links, "rid", "left").join(named.select(F.col("node").alias("rid"), "root").join(least, "root"), "rid", "left")
-    lookup = materialize(joined.select("s1", "s2", F.coalesce("class_id", "first_id").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n").alias("n_copies")), "join-lookup")
-    full = signed.select("doc_id", "s1", "s2", "size").join(lookup, ["s1", "s2"], "left")
-    return full.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"), F.col("size").alias("n_shingles"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each class, that of the least doc_id, with all its columns. Of rows repeated with their id, one."""
-    joined = near_duplicates(docs).select("doc_id", "class_id")
-    drop = materialize(joined.filter(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__id")).distinct(), "join-drop")
-    kept = null_safe_join(docs, drop, [("doc_id", "__id")], "left_anti")
-    twice = materialize(joined.groupBy("doc_id").count().filter(F.col("count") > 1).select(F.col("doc_id").alias("__id")), "join-twice")
-    single = null_safe_join(kept, twice, [("doc_id", "__id")], "left_anti")
-    return single.unionByName(null_safe_join(kept, twice, [("doc_id", "__id")], "left_semi").dropDuplicates(["doc_id"]))
+    alone = F.col("root").isNull()
+    lookup = materialize(
+        joined.select("s1", "s2", F.coalesce("root", "rid").alias("root"), F.when(alone, F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n").alias("n_copies")),
+        "join-lookup",
+    )
+    full = signed.select("doc_id", "key", "s1", "s2", "size").join(lookup, ["s1", "s2"], "left")
+    none = F.col("root").isNull()
+    return full.select(
+        "doc_id", "key", "size", "root",
+        F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+    )
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS, recall: float = 0.9999, block: int = 768) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links, n_copies, n_shingles (size of its n-gram set).
+
+    class_id is the least doc_id of the document's component of links; n_links counts the other documents whose n-gram
+    sets have a Jaccard similarity of at least the threshold, copies included; n_copies those with the same set, itself
+    included. Defined cases: texts that are null or without words have no set and no links and are classes of their own;
+    texts of 1 to n - 1 words have one n-gram, all their words; repeated rows are copies of each other; a component without any
+    id has a null class_id; an empty table gives no rows; other columns are ignored.
+    """
+    rows = _classified(docs, threshold, n, recall, block)
+    return rows.select("doc_id", "class_id", "n_links", "n_copies", F.col("size").alias("n_shingles"))
+
+
+def keep_first(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS, recall: float = 0.9999, block: int = 768) -> DataFrame:
+    """One document of each component, with all its columns: that of the least doc_id (null last), then of the least text hash.
+
+    Documents are told apart by id and text, so an id that comes twice with different texts is two documents. Rows that
+    repeat both stay once. Documents without words all stay.
+    """
+    rows = materialize(_classified(docs, threshold, n, recall, block).filter(F.col("root").isNotNull()).select("root", "doc_id", "key"), "join-rooted")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("k"))).alias("b"))
+    first = F.col("doc_id").eqNullSafe(F.col("b.id")) & (F.col("key") == F.col("b.k"))
+    named = [F.col("doc_id").alias("__id"), F.col("key").alias("__k")]
+    drop = materialize(rows.join(best, "root").filter(~first).select(*named).distinct(), "join-drop")
+    twice = materialize(rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(*named), "join-twice")
+    on = [("doc_id", "__id"), ("__key", "__k")]
+    kept = null_safe_join(docs.withColumn("__key", F.xxhash64("text")), drop, on, "left_anti")
+    once = null_safe_join(kept, twice, on, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return null_safe_join(kept, twice, on, "left_anti").unionByName(once).drop("__key")
 
 
 #: The same by comparing all texts that share an n-gram; feasible where no n-gram is in very many texts.

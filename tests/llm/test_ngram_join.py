@@ -68,7 +68,15 @@ def test_repeated_rows_are_copies(spark):
     df = spark.createDataFrame([(7, t, 1, "en"), (7, t, 1, "en"), (7, "other " + t[:60], 1, "en"), (9, t, 1, "en")], SCHEMA)
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in nj.near_duplicates(df).collect()) == [(7, 7, 0), (7, 7, 2), (7, 7, 2), (9, 7, 2)]
     kept = nj.keep_first(df)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {7}
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["text"][:5]) for r in kept.collect()) == [(7, "other"), (7, "w0 w1")]
+
+
+def test_first_documents_are_told_apart_by_id_and_text(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(None, a), (None, b), (None, b), (None, a + " more"), (3, b), (4, None), (4, None), (5, ""), (None, "")]
+    got = [(r["doc_id"], r["text"]) for r in nj.keep_first(spark.createDataFrame([(i, t, 1, "en") for i, t in rows], SCHEMA)).collect()]
+    assert (3, b) in got and got.count((4, None)) == 2 and (5, "") in got and (None, "") in got
+    assert len(got) == 6 and sum(t is not None and t.startswith("a") for _, t in got) == 1
 
 
 def test_bands_reach_the_recall():
