@@ -17,6 +17,7 @@ import math
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from itertools import islice
@@ -185,6 +186,16 @@ class Phase:
 class Plan:
     queues: dict[str, int]
     phases: list[Phase] = field(default_factory=list)
+    #: Of each queue the offsets at which its phases start, and the phases with the queue's place in them.
+    starts: dict[int, list[int]] = field(default_factory=dict)
+    own: dict[int, list[tuple[Phase, int]]] = field(default_factory=dict)
+
+    def add(self, p: Phase) -> None:
+        self.phases.append(p)
+        for k, q in enumerate(p.active):
+            if int(p.sent(k, p.rounds)):
+                self.starts.setdefault(q, []).append(int(p.taken[k]))
+                self.own.setdefault(q, []).append((p, k))
 
 
 def plan_rounds(totals: dict[str, int], weights: dict[str, float] | None, window: int) -> Plan:
@@ -214,7 +225,7 @@ def plan_rounds(totals: dict[str, int], weights: dict[str, float] | None, window
             p = Phase(base, 1, act.tolist(), taken[act].copy(), deficit[act].copy(), quantum, last)
             gone = last
             deficit[act] = np.where(left[act] > gone, deficit[act] + quantum - (gone << 16), 0)
-        plan.phases.append(p)
+        plan.add(p)
         base += int(gone.sum())
         taken[act] += gone
         left[act] -= gone
@@ -225,12 +236,9 @@ def place(plan: Plan, queue: int, start: int, n: int) -> list[tuple[int, int, in
     """Where tokens [start, start + n) of a queue go: (offset in the queue, length, position in the stream)."""
     out = []
     end = start + n
-    for p in plan.phases:
+    for p, k in plan.own.get(queue, [])[max(0, bisect_right(plan.starts.get(queue, []), start) - 1) :]:
         if start >= end:
             break
-        if queue not in p.active:
-            continue
-        k = p.active.index(queue)
         total = int(p.sent(k, p.rounds))
         lo = start - int(p.taken[k])
         if lo >= total:
