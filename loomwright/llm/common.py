@@ -50,14 +50,14 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor costs a re-read, never a recomputation.
 
     The reread table has file statistics, so Spark broadcasts it in a join only below its size threshold.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
@@ -71,6 +71,15 @@ def discard(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+#: Rows of a few numbers that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def checked(keys: DataFrame) -> DataFrame:
+    """A materialized table of keys for a join: broadcast up to BROADCAST_ROWS rows, beyond that left to a shuffled join."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:
     """Equi-join whose keys may be null (null matches null); the right key columns are dropped."""
     cond = None
@@ -86,6 +95,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def sampled(share: Column | float, *keys: str) -> Column:
+    """Whether a row is in a sample of the given share by a hash of its keys; fine enough for a few rows in 10^12."""
+    return F.pmod(F.xxhash64(*keys), F.lit(1 << 50)).cast("double") < F.lit(float(1 << 50)) * share
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.encode(F.coalesce(F.col(column).cast("string"), F.lit("")), "UTF-8")) % n

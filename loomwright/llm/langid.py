@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, discard, materialize, text_groups
+from .common import crc_mod, discard, materialize, sampled, text_groups
 
 WORDS_KEPT = 400_000
 #: Longer words are scored in pieces of this length.
@@ -186,7 +186,7 @@ def training_words(docs: DataFrame, per_language: int) -> tuple[DataFrame, list[
     share = F.lit(0.0)
     for x in langs:
         share = F.when(F.col("lang") == x, F.lit(per_language / sizes[x])).otherwise(share)
-    sample = use.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < share * 1_000_000).select("lang", "text")
+    sample = use.withColumn("__n", F.length("text")).filter(sampled(share, "doc_id", "__n")).select("lang", "text")
 
     def run(batches):
         for b in batches:

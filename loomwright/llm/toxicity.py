@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_words, materialize, text_groups
+from .common import crc_mod, hash_words, materialize, sampled, text_groups
 
 #: Bounds of the training samples (in expectation), and of a training text's different words.
 POSITIVES, UNLABELLED = 8_000, 16_000
@@ -125,7 +125,7 @@ def train(pos: Sparse, unl: Sparse, prior: float, rounds: int = 1500, rate: floa
 
 def _sample(rows: DataFrame, n: int, most: int) -> DataFrame:
     """About `most` of n rows by a hash of their id."""
-    return rows if n <= most else rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return rows if n <= most else rows.filter(sampled(most / n, "doc_id"))
 
 
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
