@@ -23,7 +23,7 @@ from .common import discard, hash_words, materialize, text_groups
 
 #: Words with a number of their own: the most frequent ones, ties by hash. 0 is any other word; FIRST stands before a text.
 VOCABULARY, FIRST = 65_534, 65_535
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 500_000
 INTERPOLATION, PSEUDO = 0.6, 0.5
 
 
@@ -45,12 +45,21 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     def run(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            for lo, hi in text_groups(texts, 16_000_000):
-                w, n = np.unique(np.concatenate([hash_words(texts[a + lo : c + lo], normalised=True)[0] for a, c in text_groups(texts[lo:hi])]), return_counts=True)
+            for lo, hi in text_groups(texts):
+                w, n = np.unique(hash_words(texts[lo:hi], normalised=True)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64), pa.int64()), pa.array(n, pa.int64())], names=["word", "n"])
 
-    counts = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    counts = materialize(docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
+    # a fine logarithmic histogram tells which counts can be among the first, so that few more rows than those are ordered
+    level = F.floor(F.log2("n") * 64)
+    bins = sorted(((r["b"], r["c"]) for r in counts.groupBy(level.alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()), reverse=True)
+    seen, least = 0, 0
+    for least, c in bins:
+        seen += c
+        if seen >= size:
+            break
+    top = counts.filter(level >= least).orderBy(F.desc("n"), "word").limit(size).select("word").collect()
+    discard(counts)
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
@@ -74,7 +83,10 @@ CHUNKS = "chunk long, ids array<long>, lengths array<int>, target array<boolean>
 
 
 def chunked(rows: DataFrame, size: int) -> DataFrame:
-    """Documents of one task in chunks of about `size` tokens; a longer document is a chunk of its own."""
+    """Documents of one task in chunks of about `size` tokens; a longer document is a chunk of its own.
+
+    Arrays inside rows are compressed here, so tables of them are written as they are.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -83,7 +95,7 @@ def chunked(rows: DataFrame, size: int) -> DataFrame:
 
         def row():
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) // 2 for x in blobs]], pa.list_(pa.int32())), pa.array([target], pa.list_(pa.bool_())), pa.array([b"".join(blobs)], pa.binary())],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) // 2 for x in blobs]], pa.list_(pa.int32())), pa.array([target], pa.list_(pa.bool_())), pa.array([_zip(np.frombuffer(b"".join(blobs), "<u2"))], pa.binary())],
                 names=[x.split()[0] for x in CHUNKS.split(", ")],
             )
 
@@ -112,8 +124,11 @@ def bigrams(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def _rows(batches, names: list[str]) -> Iterator[tuple]:
+    """One row at a time: rows are large."""
     for b in batches:
-        yield from zip(*(b.column(c).to_pylist() for c in names), strict=True)
+        cols = [b.column(c) for c in names]
+        for i in range(b.num_rows):
+            yield tuple(c[i].as_py() for c in cols)
 
 
 def requests(chunks: DataFrame, shards: int) -> DataFrame:
@@ -122,9 +137,11 @@ def requests(chunks: DataFrame, shards: int) -> DataFrame:
     def run(batches):
         for chunk, lengths, target, blob in _rows(batches, ["chunk", "lengths", "target", "tokens"]):
             lengths = np.array(lengths, np.int64)
-            every = bigrams(np.frombuffer(blob, "<u2"), lengths)
-            keys, place, n = np.unique(every, return_inverse=True, return_counts=True)
-            t = np.bincount(place, np.repeat(np.array(target, np.float64), lengths), len(keys)).astype(np.uint32)
+            every = bigrams(_unzip(blob, "<u2"), lengths)
+            keys, n = np.unique(every, return_counts=True)
+            aimed, m = np.unique(every[np.repeat(np.array(target, bool), lengths)], return_counts=True)
+            t = np.zeros(len(keys), np.uint32)
+            t[np.searchsorted(keys, aimed)] = m
             cut = np.searchsorted(keys >> np.uint32(16), np.arange(shards + 1) * 65536 // shards)
             for s in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[s], cut[s + 1])
@@ -221,8 +238,8 @@ def scored(chunks: DataFrame, got: DataFrame) -> DataFrame:
                 parts.append(_unzip(blob, np.float32))
                 continue
             lengths = np.array(lengths, np.int64)
-            place = np.unique(bigrams(np.frombuffer(blob, "<u2"), lengths), return_inverse=True)[1]
-            diff = np.concatenate(parts)[place] if len(place) else np.zeros(0)
+            every = bigrams(_unzip(blob, "<u2"), lengths)
+            diff = np.concatenate(parts)[np.searchsorted(np.unique(every), every)] if len(every) else np.zeros(0)
             parts = []
             total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), diff, len(lengths))
             mean = pa.array(total / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
@@ -243,11 +260,11 @@ def score(docs: DataFrame, target: DataFrame, words: int = VOCABULARY, chunk_tok
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("is_target")).filter(F.col("doc_id").isNotNull()).distinct()
     tokens = numbered(rows, vocabulary(rows, min(words, VOCABULARY)))
-    chunks = materialize(chunked(tokens.join(marked, "doc_id", "left").withColumn("target", F.coalesce("is_target", F.lit(False))), chunk_tokens), "lm-chunks")
+    chunks = materialize(chunked(tokens.join(marked, "doc_id", "left").withColumn("target", F.coalesce("is_target", F.lit(False))), chunk_tokens), "lm-chunks", "none")
     shards = int(min(65536, max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count())))
-    asked = materialize(requests(chunks, shards), "lm-asked")
-    totals = materialize(merged(asked), "lm-totals")
-    got = materialize(answers(asked, totals, *word_counts(totals)), "lm-answers")
+    asked = materialize(requests(chunks, shards), "lm-asked", "none")
+    totals = materialize(merged(asked), "lm-totals", "none")
+    got = materialize(answers(asked, totals, *word_counts(totals)), "lm-answers", "none")
     discard(asked)
     discard(totals)
     return scored(chunks, got)
