@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, materialize, ngrams, null_safe_join, text_groups
+from .common import checked, hash_words, materialize, ngrams, null_safe_join, text_groups
 
 #: Characters of test items in one block: what is sent to each task.
 BLOCK_CHARS = 8_000_000
@@ -193,4 +193,5 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents without a test item, with all their columns."""
     keyed = docs.withColumn("__key", F.xxhash64("text"))
     bad = materialize(contaminated(docs, items).select(F.col("doc_id").alias("__id"), F.col("key").alias("__bad")).distinct(), "decontam-bad")
+    bad = checked(bad)
     return null_safe_join(keyed, bad, [("doc_id", "__id"), ("__key", "__bad")], "left_anti").drop("__key")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, materialize, mix64, ngrams, null_safe_join, text_groups
+from .common import checked, discard, hash_words, materialize, mix64, ngrams, null_safe_join, text_groups
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -138,7 +138,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 marks = [fingerprint(s) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["s1", "s2", "shingles"])
 
-    first = wanted.select(F.col("first_id").alias("__first")).distinct()
+    first = checked(materialize(wanted.select(F.col("first_id").alias("__first")).distinct(), "join-first"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     built = texts.join(first, F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").select("text").mapInArrow(run, "s1 long, s2 long, shingles binary")
     return built.join(wanted.select("rid", "s1", "s2"), ["s1", "s2"]).groupBy("rid").agg(F.first("shingles").alias("shingles"))
@@ -331,6 +331,7 @@ def keep_first(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_W
     drop = materialize(rows.join(best, "root").filter(~first).select(*named).distinct(), "join-drop")
     twice = materialize(rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(*named), "join-twice")
     on = [("doc_id", "__id"), ("__key", "__k")]
+    drop, twice = checked(drop), checked(twice)
     kept = null_safe_join(docs.withColumn("__key", F.xxhash64("text")), drop, on, "left_anti")
     once = null_safe_join(kept, twice, on, "left_semi").dropDuplicates(["doc_id", "__key"])
     return null_safe_join(kept, twice, on, "left_anti").unionByName(once).drop("__key")
