@@ -20,18 +20,19 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, discard, let, materialize, null_safe_join
 
 #: Statistics of the outlier rule and the least spread each is given (its square is added to the variance), so that
-#: a statistic that is nearly always zero neither makes the scatter singular nor rejects a single occurrence.
+#: a statistic that is nearly always zero neither makes the scatter singular nor rejects a single occurrence. Each
+#: statistic's reach is beyond its spread times the root of CUTOFF, so that any of them can reject a text by itself.
 STATS = {
     "x_word": 0.08,  # log of mean word length, shrunk for short texts
     "x_symbol": 0.05,  # root of symbols per word
     "x_punct": 0.10,  # root of other loud punctuation per word
-    "x_line": 0.15,  # share of duplicate lines
-    "x_repeat": 0.08,  # share of words in repeated 8-word windows
+    "x_line": 0.10,  # share of duplicate lines, shrunk for few lines
+    "x_repeat": 0.055,  # share of words in repeated 8-word windows; under 0.3 where the fixed rules hold
 }
 SUPPORT = 0.75
 STEPS = 4
-#: Squared distance beyond which a document is rejected.
-CUTOFF = 60.0
+#: Share of normal data within the cutoff.
+WITHIN = 0.999
 #: Groups of fewer documents are judged with the pooled estimate of all documents.
 LEAST_GROUP = 100
 BINS_PER_OCTAVE = 16
@@ -39,7 +40,7 @@ WINDOW_WORDS = 8
 
 
 def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns keep, and of each whole text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_punct.
+    """Columns keep, and of each whole text: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_punct.
 
     Words are runs of characters other than space and tab to carriage return. Null and empty texts have none.
     """
@@ -53,6 +54,7 @@ def text_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size("__w").cast("long").alias("n_words"),
         F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
         F.regexp_count("__t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size("__l").cast("long").alias("n_lines"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.when(F.size("__h") > F.size(F.array_distinct("__h")), _covered(F.col("__h"))).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.regexp_count("__t", F.lit(r"[!?=_~^{}\[\]\\]")).cast("long").alias("n_punct"),
@@ -105,7 +107,7 @@ def vector(stats: DataFrame) -> DataFrame:
             "x_word": F.log((F.col("word_chars") + 200.0) / (F.col("n_words") + 40.0)),
             "x_symbol": F.sqrt(F.col("n_symbols") / (w + 20)),
             "x_punct": F.sqrt(F.col("n_punct") / (w + 20)),
-            "x_line": F.col("n_dup_lines") / (F.col("n_dup_lines") + 4.0),
+            "x_line": F.col("n_dup_lines") / (F.col("n_lines") + 4.0),
             "x_repeat": F.col("n_repeat_words") / (w + 20),
         }
     )
@@ -123,16 +125,22 @@ def _chi2_cdf(x: float, k: int) -> float:
     return total * math.exp(-z + a * math.log(z) - math.lgamma(a))
 
 
-def consistency(support: float, p: int) -> float:
-    """Factor that makes the scatter of the closest share `support` of normal data that of all of them."""
+def chi2_quantile(share: float, k: int) -> float:
     lo, hi = 1e-6, 200.0
     for _ in range(200):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _chi2_cdf(mid, p) < support else (lo, mid)
-    return support / _chi2_cdf(lo, p + 2)
+        lo, hi = (mid, hi) if _chi2_cdf(mid, k) < share else (lo, mid)
+    return lo
+
+
+def consistency(support: float, p: int) -> float:
+    """Factor that makes the scatter of the closest share `support` of normal data that of all of them."""
+    return support / _chi2_cdf(chi2_quantile(support, p), p + 2)
 
 
 NAMES = list(STATS)
+#: Squared distance beyond which a document is rejected.
+CUTOFF = chi2_quantile(WITHIN, len(NAMES))
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 

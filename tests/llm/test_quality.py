@@ -85,3 +85,27 @@ def test_keep_good_keeps_columns_and_own_texts(spark):
     df = spark.createDataFrame([(1, good, "en", "a", 5), (1, "too short", "en", "a", 6), (None, good, None, None, 7), (None, None, None, None, 8)], SCHEMA)
     out = quality.keep_good(df)
     assert out.columns == df.columns and sorted(r["n_words"] for r in out.collect()) == [5, 7]
+
+
+def test_each_statistic_rejects_by_itself(spark):
+    """Texts that are bad in one statistic alone, among sound ones; a few duplicate lines of many reject nothing."""
+    rng = np.random.default_rng(5)
+    line = lambda k: f"l{k:04d}"
+    fresh = lambda n: [f"w{k:04d}" for k in rng.permutation(9000)[:n]]
+    sound = ["\n".join(" ".join(fresh(10)) for _ in range(12)) for _ in range(150)]
+    words = fresh(200)
+    one = {
+        "lines": "\n".join(line(k) for k in rng.integers(0, 12, 80)),
+        "repeat": " ".join(words + words[20:53]),
+        "symbols": " ".join(fresh(100) + ["#abcd"] * 7 + ["$efgh"] * 3),
+        "punct": " ".join(w + ("!" if k % 3 == 0 else "") for k, w in enumerate(fresh(100))),
+        "word": " ".join(w * 4 for w in fresh(100)),
+    }
+    few = "\n".join([line(k) for k in range(1000)] + [line(k * 7) for k in range(20)])
+    texts = sound + [few, *one.values()]
+    rows = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], SCHEMA)).collect()}
+    assert all(rows[k]["kept"] for k in range(151))
+    assert rows[151]["n_dup_lines"] > 60 and rows[151]["n_repeat_words"] == 0
+    for k, name in enumerate(one, 151):
+        assert not rows[k]["base_failed"] and not rows[k]["kept"], name
+    assert quality.CUTOFF == pytest.approx(20.515, abs=1e-3)
