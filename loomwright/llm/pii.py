@@ -2,12 +2,14 @@
 
 The patterns' findings (emails, ip addresses, payment cards, phones) are the protected entities. A term near an entity
 is disclosive if corpus co-occurrence says that it reveals the entity: with point-wise mutual information PMI(t; e)
-and information content IC(e), t is removed near e when PMI / IC >= remove, and generalised when it is >= generalise.
+and information content IC(e), t is removed when PMI / IC >= remove, and generalised when it is >= generalise; each of its
+occurrences is, in any document, as it reveals e most where e itself does not stand.
 As PMI / IC = 1 + log(n(t, e) / n(t)) / log(N / n(e)), what counts is how often t occurs without e in the corpus.
 
-Only DataFrame functions. Texts are read twice: once for the patterns and the terms in a window around each finding,
-once for the frequencies of the candidate terms, which are counted over all documents with partial aggregation.
-Neither pass shuffles a text, and no group of documents meets in one task.
+Only DataFrame functions. Texts are read for the patterns and the terms in a window around each finding, for the
+frequencies of the candidate terms, which are counted over all documents with partial aggregation, for the documents
+that hold a disclosive term, and for the places in those. Up to BROADCAST_ROWS terms and documents with any no pass
+shuffles a text, and no group of documents meets in one task.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, null_safe_join
+from .common import checked, let, materialize, null_safe_join
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Possessive quantifiers and the look-behinds change no match (what follows a run can't be in it, and a
@@ -137,13 +139,35 @@ def disclosive(docs: DataFrame, found: DataFrame, least: int = LEAST_CONTEXTS, g
     return pairs.join(total, "term").select("entity", "term", share("n_t").alias("share")).filter(F.col("share") >= generalise)
 
 
-def term_spans(found: DataFrame, pairs: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """(doc_id, key, more): the places of disclosive terms in each text that has any, ordered, as (s, o, e, k, v)."""
-    places = found.select("doc_id", "key", F.explode("terms").alias("x")).select("doc_id", "key", "x.entity", "x.term", "x.s", "x.e")
-    hit = places.join(pairs, ["entity", "term"])
-    one = hit.groupBy("doc_id", "key", "s", "e").agg(F.max("share").alias("share"))
-    span = F.struct(F.col("s"), F.lit(len(KINDS)).alias("o"), F.col("e"), F.lit("term").alias("k"), F.when(F.col("share") >= remove, F.lit("removed")).otherwise(F.lit("generalised")).alias("v"))
-    return one.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(span)).alias("more"))
+def _places(text: Column, shares: Column, remove: float) -> Column:
+    """All places of the terms in the map shares, outside findings and ordered, as (s, o, e, k, v). Only hits are gathered."""
+    match = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.split(text, TERM, -1)
+    pairs = let(match, lambda m: F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda v, g: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), F.element_at(shares, F.lower(v)).alias("share"))))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def step(acc, x):
+        s = acc["at"] + x["g"]
+        verdict = F.when(x["share"] >= remove, F.lit("removed")).otherwise(F.lit("generalised"))
+        span = F.struct(s.alias("s"), F.lit(len(KINDS)).alias("o"), (s + x["n"]).alias("e"), F.lit("term").alias("k"), verdict.alias("v"))
+        return F.struct((s + x["n"]).alias("at"), F.when(x["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+
+    hits = F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return let(base_spans(text), lambda spans: F.filter(hits, lambda t: ~F.exists(spans, lambda y: (t["s"] < y["e"]) & (y["s"] < t["e"]))))
+
+
+def term_spans(docs: DataFrame, pairs: DataFrame, remove: float = REMOVE) -> DataFrame:
+    """(doc_id, key, more): every place of a disclosive term in each text that has any, near its entity or not.
+
+    Words are looked up without their texts; the texts that hold a term are then picked by id and hash.
+    """
+    terms = checked(materialize(pairs.groupBy("term").agg(F.max("share").alias("share")), "pii-disclosive"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).withColumn("key", F.xxhash64("__t"))
+    words = rows.select("doc_id", "key", F.explode(F.array_distinct(F.split(F.lower("__t"), r"\P{L}+"))).alias("term"))
+    held = words.join(terms, "term").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
+    held = checked(materialize(held.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "shares"), "pii-held"))
+    hit = null_safe_join(rows, held, [("doc_id", "__id"), ("key", "__key")])
+    return hit.select("doc_id", "key", _places(F.col("__t"), F.col("shares"), remove).alias("more")).filter(F.size("more") > 0).dropDuplicates(["doc_id", "key"])
 
 
 def _written(spans: Column) -> Column:
@@ -162,7 +186,7 @@ def detect(docs: DataFrame) -> DataFrame:
     of an id that comes twice are kept apart by their hash; an empty table gives no rows; other columns are ignored.
     """
     found = materialize(findings(docs), "pii-found")
-    places = materialize(term_spans(found, disclosive(docs, found)), "pii-places")
+    places = materialize(term_spans(docs, disclosive(docs, found)), "pii-places")
     full = _with_terms(found.select("doc_id", "key", "spans"), places)
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long").alias(f"n_{k}")
     return full.select("doc_id", *(count(k) for k in KINDS), F.sha2(_written(F.col("spans")), 256).alias("base_sha256"), _written(F.array_sort(F.concat("spans", "more"))).alias("spans"), F.size("more").cast("long").alias("n_term"))
@@ -192,7 +216,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     are joined.
     """
     found = materialize(findings(docs), "pii-found")
-    places = materialize(term_spans(found, disclosive(docs, found)), "pii-places")
+    places = materialize(term_spans(docs, disclosive(docs, found)), "pii-places")
     names = docs.columns
     mine = docs.select(*(F.col(c) for c in names), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key"), base_spans(F.col("text")).alias("__spans"))
     right = places.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "more")

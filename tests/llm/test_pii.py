@@ -84,3 +84,16 @@ def test_sanitise(spark):
     assert "boss" not in out[0] and "Zanzibarov" not in out[0] and "<email>" in out[0] and out[0].startswith("with some")
     assert (out[900], out[901], out[902]) == (None, "", "x <ip> y")
     assert pii.sanitise(df).columns == df.columns
+
+
+def test_disclosive_terms_everywhere(spark):
+    """Far from the address, in texts without it, and in repeated rows; not inside a finding or a longer word."""
+    far = "Zanzibarov " + "so much other text stands in between " * 4 + "boss@corp.com"
+    alone = "é😀 zanzibarov wrote this; Zanzibarovs did not, nor zanzibarov@else.org, but ZANZIBAROV"
+    df = leaks(spark).unionByName(frame(spark, [(900, far), (901, alone), (901, alone), (None, "by Zanzibarov")]))
+    out = [(r["doc_id"], r["text"]) for r in pii.sanitise(df).collect()]
+    assert len(out) == df.count() and not any(re.search(r"\bzanzibarov\b", t, re.I) for _, t in out)
+    assert [t for i, t in out if i == 901] == ["é😀 <term> wrote this; Zanzibarovs did not, nor <email>, but <term>"] * 2
+    rows = [r for r in pii.detect(df).collect() if r["doc_id"] is None or r["doc_id"] >= 900]
+    assert sorted(r["n_term"] for r in rows) == [1, 1, 2, 2]
+    assert {r["spans"] for r in rows if r["doc_id"] == 901} == {",".join(f"{k}:{a}:{b}" for a, b, k in [(3, 13, "term"), *[(m.start(), m.end(), "email") for m in re.finditer("zanzibarov@else.org", alone)], (len(alone) - 10, len(alone), "term")])}
