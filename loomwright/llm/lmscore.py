@@ -4,10 +4,13 @@ A target model (texts marked as target) and a background model (all texts) share
 smoothing: p(w | v) = a * c(v w) / c(v) + (1 - a) * p(w), p(w) = (c(w) + b) / (N + b * V), counts over all documents. A
 document's score is the mean over its tokens of target loss minus background loss; low means like the target.
 
-Bigrams are neither broadcast nor joined row by row. Documents become arrays of vocabulary numbers, grouped in chunks of
-bounded size. A chunk's distinct bigrams, in `shards` ranges of their first word, go to the shards with their counts as
-compressed arrays; each shard adds them up, and answers each chunk with the loss differences of the bigrams it asked for.
-So what is shuffled is proportional to the distinct bigrams of chunks, and tasks read sorted streams in bounded memory.
+Every word counts by itself: it is its 64-bit hash, and no vocabulary is collected unless the caller bounds it. Counts are
+neither broadcast nor joined row by row. Documents are grouped in chunks of bounded size. What a chunk must know (its distinct
+bigrams, contexts and words) are 64-bit keys, spread evenly over `shards` ranges of keys; they go to the shards with their counts
+as compressed arrays; each shard adds them up, and answers each chunk with the sums of the keys it asked for. So what is shuffled
+is proportional to the distinct bigrams of chunks. With as many shards as chunks, what one shard is asked is about as much as
+one chunk asks, and is held by its task. Of 10^10 distinct bigrams
+about ten share a key with another.
 """
 
 from __future__ import annotations
@@ -19,28 +22,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, materialize, text_groups
+from .common import discard, hash_words, materialize, mix64, text_groups
 
-#: Words with a number of their own: the most frequent ones, ties by hash. 0 is any other word; FIRST stands before a text.
-VOCABULARY, FIRST = 65_534, 65_535
+#: Hashes that are no word's: any word outside a bounded vocabulary, and what stands before a text.
+OTHER, FIRST = np.uint64(0), np.uint64(1)
+#: Lowest two bits of a key: what it counts.
+BIGRAM, CONTEXT, SINGLE = np.uint64(0), np.uint64(1), np.uint64(2)
 CHUNK_TOKENS = 500_000
 INTERPOLATION, PSEUDO = 0.6, 0.5
 
 
 def _zip(a: np.ndarray) -> bytes:
+    """Byte by byte of all values in turn, so that the zeros of small numbers cost nothing."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(a.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
 
 
 def _unzip(b: bytes, kind) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    raw, size = zstandard.ZstdDecompressor().decompress(b), np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
 
 def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the most frequent words of all documents; a word's number is its place plus 1."""
+    """Sorted hashes of the most frequent words of all documents, ties by hash; for a vocabulary that the caller bounds."""
 
     def run(batches):
         for b in batches:
@@ -63,29 +70,30 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
-def numbered(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """(doc_id, tokens): each text as little-endian uint16 vocabulary numbers."""
+def hashed(docs: DataFrame, words: np.ndarray | None) -> DataFrame:
+    """(doc_id, tokens): each text as uint64 word hashes; OTHER for those outside words, if given."""
 
     def run(batches):
         for b in batches:
             texts, out = b.column("text").to_pylist(), []
             for lo, hi in text_groups(texts):
                 h, off = hash_words(texts[lo:hi], normalised=True)
-                at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
-                ids = np.where(words[at] == h, at + 1, 0).astype("<u2") if len(words) else np.zeros(len(h), "<u2")
-                out += [ids[off[i] : off[i + 1]].tobytes() for i in range(hi - lo)]
+                known = np.ones(len(h), bool) if words is None else np.isin(h, words)
+                h = np.where(known, np.maximum(h, np.uint64(2)), OTHER)
+                out += [h[off[i] : off[i + 1]].tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
 
 
-CHUNKS = "chunk long, ids array<long>, lengths array<int>, target array<boolean>, tokens binary"
+CHUNKS = "chunk long, ids array<long>, lengths array<int>, target array<boolean>, words binary, tokens binary"
 
 
 def chunked(rows: DataFrame, size: int) -> DataFrame:
     """Documents of one task in chunks of about `size` tokens; a longer document is a chunk of its own.
 
-    Arrays inside rows are compressed here, so tables of them are written as they are.
+    tokens are places in words, the chunk's distinct hashes. Arrays inside rows are compressed here, so tables of them are
+    written as they are.
     """
 
     def run(batches):
@@ -94,33 +102,42 @@ def chunked(rows: DataFrame, size: int) -> DataFrame:
         number, ids, target, blobs, n = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def row():
+            words, at = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) // 2 for x in blobs]], pa.list_(pa.int32())), pa.array([target], pa.list_(pa.bool_())), pa.array([_zip(np.frombuffer(b"".join(blobs), "<u2"))], pa.binary())],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) // 8 for x in blobs]], pa.list_(pa.int32())), pa.array([target], pa.list_(pa.bool_())), *(pa.array([_zip(x)], pa.binary()) for x in (words, at.astype(np.uint32)))],
                 names=[x.split()[0] for x in CHUNKS.split(", ")],
             )
 
         for b in batches:
             for i, t, x in zip(b.column("doc_id").to_pylist(), b.column("target").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                if n and n + len(x) // 2 > size:
+                if n and n + len(x) // 8 > size:
                     yield row()
                     number, ids, target, blobs, n = number + 1, [], [], [], 0
                 ids.append(i)
                 target.append(t)
                 blobs.append(x)
-                n += len(x) // 2
+                n += len(x) // 8
         if ids:
             yield row()
 
     return rows.select("doc_id", "target", "tokens").mapInArrow(run, CHUNKS)
 
 
-def bigrams(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Keys first << 16 | second of all bigrams of consecutive texts, each text preceded by FIRST."""
-    before = np.empty(len(tokens), np.uint32)
+def events(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a chunk must know of its texts, each preceded by FIRST.
+
+    Returns keys (sorted, distinct), each token's bigram, and the places in keys of each bigram's own, context's and word's count.
+    """
+    h = np.append(words, FIRST)
+    before = np.empty(len(tokens), np.uint64)
     before[1:] = tokens[:-1]
-    starts = (np.cumsum(lengths) - lengths)[lengths > 0]
-    before[starts] = FIRST
-    return before << np.uint32(16) | tokens.astype(np.uint32)
+    before[(np.cumsum(lengths) - lengths)[lengths > 0]] = len(words)
+    pair, own = np.unique(before << np.uint64(32) | tokens.astype(np.uint64), return_inverse=True)
+    v, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    mark = lambda x, kind: mix64(x) & ~np.uint64(3) | kind
+    parts = (mark(mix64(h[v]) * np.uint64(0x9E3779B97F4A7C15) + h[w], BIGRAM), mark(h[v], CONTEXT), mark(h[w], SINGLE))
+    keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+    return keys, own, *at.reshape(3, -1)
 
 
 def _rows(batches, names: list[str]) -> Iterator[tuple]:
@@ -132,139 +149,105 @@ def _rows(batches, names: list[str]) -> Iterator[tuple]:
 
 
 def requests(chunks: DataFrame, shards: int) -> DataFrame:
-    """(shard, chunk, keys, counts, targets): a chunk's distinct bigrams by shard, as compressed arrays."""
+    """(shard, chunk, keys, counts, targets): a chunk's keys by shard, as compressed arrays."""
 
     def run(batches):
-        for chunk, lengths, target, blob in _rows(batches, ["chunk", "lengths", "target", "tokens"]):
+        for chunk, lengths, target, words, blob in _rows(batches, ["chunk", "lengths", "target", "words", "tokens"]):
             lengths = np.array(lengths, np.int64)
-            every = bigrams(_unzip(blob, "<u2"), lengths)
-            keys, n = np.unique(every, return_counts=True)
-            aimed, m = np.unique(every[np.repeat(np.array(target, bool), lengths)], return_counts=True)
-            t = np.zeros(len(keys), np.uint32)
-            t[np.searchsorted(keys, aimed)] = m
-            cut = np.searchsorted(keys >> np.uint32(16), np.arange(shards + 1) * 65536 // shards)
+            keys, own, *places = events(_unzip(words, np.uint64), _unzip(blob, np.uint32), lengths)
+            aimed = np.repeat(np.array(target, bool), lengths)
+            per = (np.bincount(own, minlength=len(places[0])), np.bincount(own, aimed, len(places[0])))
+            n, t = (sum(np.bincount(at, x, len(keys)) for at in places).astype(np.uint32) for x in per)
+            shard = ((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+            cut = np.searchsorted(shard, np.arange(shards + 1))
             for s in np.flatnonzero(np.diff(cut)):
-                own = slice(cut[s], cut[s + 1])
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([chunk], pa.int64()), *(pa.array([_zip(x)], pa.binary()) for x in (np.diff(keys[own], prepend=np.uint32(0)), n[own].astype(np.uint32), t[own]))], names=["shard", "chunk", "keys", "counts", "targets"])
-
-    return chunks.select("chunk", "lengths", "target", "tokens").mapInArrow(run, "shard long, chunk long, keys binary, counts binary, targets binary")
-
+                part = slice(cut[s], cut[s + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([chunk], pa.int64()), *(pa.array([_zip(x)], pa.binary()) for x in (np.diff(keys[part], prepend=np.uint64(0)), n[part], t[part]))], names=["shard", "chunk", "keys", "counts", "targets"])
 
-def merged(asked: DataFrame) -> DataFrame:
-    """(shard, keys, counts, targets): sums over chunks. Streams are merged in steps, so a task holds a shard's distinct bigrams."""
+    return chunks.select("chunk", "lengths", "target", "words", "tokens").mapInArrow(run, "shard long, chunk long, keys binary, counts binary, targets binary")
 
-    def run(batches):
-        shard, parts, size = None, [], 0
 
-        def fold():
-            keys = np.concatenate([p[0] for p in parts])
-            u, place = np.unique(keys, return_inverse=True)
-            return [(u, *(np.bincount(place, np.concatenate([p[k] for p in parts]), len(u)).astype(np.int64) for k in (1, 2)))]
+def log_probability(pair: np.ndarray, context: np.ndarray, word: np.ndarray, size: int, kinds: int) -> np.ndarray:
+    """Interpolated log probability of bigrams from their own, their context's and their word's counts."""
+    return np.log(INTERPOLATION * pair / np.maximum(context, 1) + (1 - INTERPOLATION) * (word + PSEUDO) / (size + PSEUDO * kinds))
 
-        def row():
-            u, n, t = fold()[0]
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), *(pa.array([_zip(x)], pa.binary()) for x in (u, n, t))], names=["shard", "keys", "counts", "targets"])
 
-        for s, k, n, t in _rows(batches, ["shard", "keys", "counts", "targets"]):
-            if s != shard:
-                if parts:
-                    yield row()
-                shard, parts, size = s, [], 0
-            keys = np.cumsum(_unzip(k, np.uint32), dtype=np.uint32)
-            parts.append((keys, _unzip(n, np.uint32), _unzip(t, np.uint32)))
-            size += len(keys)
-            if size > 4 * len(parts[0][0]) + 1_000_000:
-                parts = fold()
-                size = len(parts[0][0])
-        if parts:
-            yield row()
+ANSWERS = "chunk long, shard long, counts binary, targets binary, n long, t long, kinds long"
 
-    return asked.select("shard", "keys", "counts", "targets").repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard long, keys binary, counts binary, targets binary")
 
+def answers(asked: DataFrame) -> DataFrame:
+    """The sums of the keys that each chunk asked for, in their order; and of each shard, as chunk -1, its tokens n, those of
+    target texts t, and its different words."""
 
-def word_counts(totals: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Of each vocabulary number its count in all texts and in target texts."""
+    def rows(shard, parts):
+        keys, at = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+        n, t = (np.bincount(at, np.concatenate([p[k] for p in parts]), len(keys)).astype(np.int64) for k in (2, 3))
+        single = keys & np.uint64(3) == SINGLE
+        lo = 0
+        for chunk, own, *_ in parts:
+            mine = at[lo : lo + len(own)]
+            lo += len(own)
+            yield chunk, shard, _zip(n[mine]), _zip(t[mine]), None, None, None
+        yield -1, shard, None, None, int(n[single].sum()), int(t[single].sum()), int(single.sum())
 
     def run(batches):
-        n, t = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
-        for k, a, b in _rows(batches, ["keys", "counts", "targets"]):
-            second = _unzip(k, np.uint32) & np.uint32(0xFFFF)
-            n += np.bincount(second, _unzip(a, np.int64), 65536).astype(np.int64)
-            t += np.bincount(second, _unzip(b, np.int64), 65536).astype(np.int64)
-        hit = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hit, n[hit], t[hit])], names=["word", "n", "t"])
-
-    n, t = np.zeros(65536, np.int64), np.zeros(65536, np.int64)
-    for r in totals.mapInArrow(run, "word long, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).collect():
-        n[r["word"]], t[r["word"]] = r["n"], r["t"]
-    return n, t
-
-
-def log_probability(keys: np.ndarray, counts: np.ndarray, word: np.ndarray, kinds: int) -> np.ndarray:
-    """Interpolated log probability of each bigram of a shard (all bigrams of their first words are in it)."""
-    first, second = (keys >> np.uint32(16)).astype(np.int64), (keys & np.uint32(0xFFFF)).astype(np.int64)
-    context = np.bincount(first, counts, 65536)[first]
-    single = (word[second] + PSEUDO) / (word.sum() + PSEUDO * kinds)
-    return np.log(INTERPOLATION * counts / np.maximum(context, 1) + (1 - INTERPOLATION) * single)
-
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        batch = lambda row: pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in ANSWERS.split(", ")])
+        last, parts = None, []
+        for shard, chunk, k, a, b in _rows(batches, ["shard", "chunk", "keys", "counts", "targets"]):
+            if parts and shard != last:
+                yield from map(batch, rows(last, parts))
+                parts = []
+            last = shard
+            parts.append((chunk, np.cumsum(_unzip(k, np.uint64), dtype=np.uint64), _unzip(a, np.uint32), _unzip(b, np.uint32)))
+        if parts:
+            yield from map(batch, rows(last, parts))
 
-def answers(asked: DataFrame, totals: DataFrame, n: np.ndarray, t: np.ndarray) -> DataFrame:
-    """(chunk, shard, diff): target loss minus background loss of the bigrams asked for, in the order of their keys."""
-    kinds = int(np.count_nonzero(n))
+    return asked.repartition("shard").sortWithinPartitions("shard", "chunk").mapInArrow(run, ANSWERS)
 
-    def run(batches):
-        keys = diff = None
-        for kind, shard, chunk, k, a, b in _rows(batches, ["kind", "shard", "chunk", "keys", "counts", "targets"]):
-            if kind == 0:
-                keys = _unzip(k, np.uint32)
-                diff = (log_probability(keys, _unzip(a, np.int64), n, kinds) - log_probability(keys, _unzip(b, np.int64), t, kinds)).astype(np.float32)
-            else:
-                own = np.cumsum(_unzip(k, np.uint32), dtype=np.uint32)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([shard], pa.int64()), pa.array([_zip(diff[np.searchsorted(keys, own)])], pa.binary())], names=["chunk", "shard", "diff"])
 
-    none = F.lit(None).cast("binary")
-    both = totals.select(F.lit(0).alias("kind"), "shard", F.lit(-1).cast("long").alias("chunk"), "keys", "counts", "targets").unionByName(asked.select(F.lit(1).alias("kind"), "shard", "chunk", "keys", none.alias("counts"), none.alias("targets")))
-    return both.repartition("shard").sortWithinPartitions("shard", "kind", "chunk").mapInArrow(run, "chunk long, shard long, diff binary")
+def sizes(got: DataFrame) -> tuple[int, int, int]:
+    """How many tokens all texts and target texts have, and how many different words."""
+    r = got.filter(F.col("chunk") < 0).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "t", "kinds"))).first()
+    return int(r["n"]), int(r["t"]), int(r["kinds"])
 
 
 SCORED = "doc_id long, n_tokens long, ce_diff double"
 
 
-def scored(chunks: DataFrame, got: DataFrame) -> DataFrame:
+def scored(chunks: DataFrame, got: DataFrame, n_all: int, n_target: int, kinds: int) -> DataFrame:
     def run(batches):
         parts = []
-        for kind, ids, lengths, blob in _rows(batches, ["kind", "ids", "lengths", "blob"]):
+        for kind, ids, lengths, a, b in _rows(batches, ["kind", "ids", "lengths", "a", "b"]):
             if kind == 0:
-                parts.append(_unzip(blob, np.float32))
+                parts.append((_unzip(a, np.int64), _unzip(b, np.int64)))
                 continue
             lengths = np.array(lengths, np.int64)
-            every = bigrams(_unzip(blob, "<u2"), lengths)
-            diff = np.concatenate(parts)[np.searchsorted(np.unique(every), every)] if len(every) else np.zeros(0)
+            _, own, *places = events(_unzip(a, np.uint64), _unzip(b, np.uint32), lengths)
+            n, t = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.int64)]) for k in (0, 1))
             parts = []
-            total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), diff, len(lengths))
+            diff = log_probability(*(n[at] for at in places), n_all, kinds) - log_probability(*(t[at] for at in places), n_target, kinds)
+            total = np.bincount(np.repeat(np.arange(len(lengths)), lengths), diff[own], len(lengths))
             mean = pa.array(total / np.maximum(lengths, 1), pa.float64(), mask=lengths == 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lengths, pa.int64()), mean], names=["doc_id", "n_tokens", "ce_diff"])
 
-    left = got.select("chunk", F.lit(0).alias("kind"), "shard", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("lengths"), F.col("diff").alias("blob"))
-    right = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("shard"), "ids", "lengths", F.col("tokens").alias("blob"))
+    left = got.filter(F.col("chunk") >= 0).select("chunk", F.lit(0).alias("kind"), "shard", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("array<int>").alias("lengths"), F.col("counts").alias("a"), F.col("targets").alias("b"))
+    right = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("shard"), "ids", "lengths", F.col("words").alias("a"), F.col("tokens").alias("b"))
     return left.unionByName(right).repartition("chunk").sortWithinPartitions("chunk", "kind", "shard").mapInArrow(run, SCORED)
 
 
-def score(docs: DataFrame, target: DataFrame, words: int = VOCABULARY, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+def score(docs: DataFrame, target: DataFrame, words: int | None = None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_tokens, ce_diff (mean target loss minus background loss; lower is more like the target).
 
-    target: doc_id of target documents. Defined cases: null and empty texts, or of punctuation alone, have no tokens and a
+    target: doc_id of target documents. words: so many most frequent words alone, any other being one (default: every word by
+    itself). Defined cases: null and empty texts, or of punctuation alone, have no tokens and a
     null score; without target documents both models differ by smoothing alone; repeated rows are counted and scored
     as often as they come; a null doc_id is no target; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     marked = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("is_target")).filter(F.col("doc_id").isNotNull()).distinct()
-    tokens = numbered(rows, vocabulary(rows, min(words, VOCABULARY)))
+    tokens = hashed(rows, None if words is None else vocabulary(rows, words))
     chunks = materialize(chunked(tokens.join(marked, "doc_id", "left").withColumn("target", F.coalesce("is_target", F.lit(False))), chunk_tokens), "lm-chunks", "none")
     shards = int(min(65536, max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count())))
-    asked = materialize(requests(chunks, shards), "lm-asked", "none")
-    totals = materialize(merged(asked), "lm-totals", "none")
-    got = materialize(answers(asked, totals, *word_counts(totals)), "lm-answers", "none")
-    discard(asked)
-    discard(totals)
-    return scored(chunks, got)
+    got = materialize(answers(requests(chunks, shards)), "lm-answers", "none")
+    return scored(chunks, got, *sizes(got))

@@ -152,3 +152,16 @@ def test_toxicity_query(spark):
     held = [r for r in op9_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in toxic]
     assert np.mean([r["predicted"] for r in held if toxic[r["doc_id"]]]) > 0.7
     assert np.mean([r["predicted"] for r in held if not toxic[r["doc_id"]]]) < 0.01
+
+
+def test_lm_every_word_counts_by_itself(spark):
+    """More words than 16 bits number: rare ones are told apart, and equal brute force."""
+    common = [(k, " ".join(f"c{j}" for j in range(k * 700, k * 700 + 700)) + " ") for k in range(100)]
+    texts = [(k, t * 2) for k, t in common] + [(200, "rare of target"), (201, "rare of target"), (202, "other rare words")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0.0) for i, t in texts], SCHEMA)
+    target = spark.createDataFrame([(200,), (3,)], "doc_id long")
+    got = {r["doc_id"]: r["ce_diff"] for r in lmscore.score(df, target, chunk_tokens=20_000).collect()}
+    want = brute_lm(texts, {200, 3}, 10**9)
+    for (i, _), (_, x) in zip(texts, want, strict=True):
+        assert got[i] == pytest.approx(x, abs=1e-6), i
+    assert got[201] < got[202] - 1
