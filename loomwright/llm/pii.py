@@ -1,15 +1,21 @@
 """Operator 2 - personal data: fixed patterns, and information-theoretic sanitisation of what gives them away.
 
-The patterns' findings (emails, ip addresses, payment cards, phones) are the protected entities. A term near an entity
-is disclosive if corpus co-occurrence says that it reveals the entity: with point-wise mutual information PMI(t; e)
-and information content IC(e), t is removed when PMI / IC >= remove, and generalised when it is >= generalise; each of its
-occurrences is, in any document, as it reveals e most where e itself does not stand.
-As PMI / IC = 1 + log(n(t, e) / n(t)) / log(N / n(e)), what counts is how often t occurs without e in the corpus.
-
-Only DataFrame functions. Texts are read for the patterns and the terms in a window around each finding, for the
-frequencies of the candidate terms, which are counted over all documents with partial aggregation, for the documents
-that hold a disclosive term, and for the places in those. Up to BROADCAST_ROWS terms and documents with any no pass
-shuffles a text, and no group of documents meets in one task.
+The patterns' findings (emails, ip addresses, payment cards, phones) are the protected entities, and so are the parts that
+identify by themselves: an email's user name and domain, an address's first three numbers, a card's first six digits, a phone
+number but for its last four. Corpus co-occurrence tells how much a term near an entity reveals of it. With information
+content IC(e) = -log2 P(e) and point-wise mutual information PMI(t; e), what the term leaves unknown of the entity is
+IC(e) - PMI(t; e) = -log2 P(e | t) bits. P(e | t) is smoothed over all contexts, (n(t, e) + K P(e)) / (n(t) + K), so that a
+single meeting says little and no count of contexts is demanded. A term that leaves at most GENERALISE bits is generalised,
+one that leaves at most REMOVE bits is removed; each of its occurrences is, in any document, as it reveals e most where e
+itself does not stand.
+
+A term is generalised to the class of corpus words with its longest prefix that leaves at least CLASS bits of every entity that
+the term discloses ("thinb*"), or where there is none, to "<term>".
+
+Only DataFrame functions. Words are counted once over all documents, with partial aggregation, so that what is joined is a
+vocabulary and never a word as often as it occurs. Texts are read for the patterns and the terms in a window around each
+finding, for that count, and for the places of disclosive terms. Up to BROADCAST_ROWS terms and documents with any, no pass
+shuffles a text or a text's words; beyond, those two joins are shuffled. No group of documents meets in one task.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, let, materialize, null_safe_join
+from .common import checked, let, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns. Possessive quantifiers and the look-behinds change no match (what follows a run can't be in it, and a
@@ -28,30 +34,48 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"\p{L}{4,}"
+#: Stands for a letter of a finding, so that a word that reaches into one is no term. Alone among findings, emails hold letters.
+MASK = "\ue000"
+TERM = rf"(?<![\p{{L}}{MASK}])\p{{L}}{{4,}}+(?!{MASK})"
+#: The same between two characters: a word that a window cuts is none.
+WHOLE_TERM = rf"(?<=[^\p{{L}}{MASK}])\p{{L}}{{4,}}+(?=[^{MASK}])"
 #: Code points on each side of a finding in which terms are looked for.
 CONTEXT = 60
-#: Distinct contexts that a term and an entity must share.
-LEAST_CONTEXTS = 3
-GENERALISE, REMOVE = 0.90, 0.95
+#: Bits of an entity that a term may leave unknown to be removed or generalised, and that a class of terms must leave.
+REMOVE, GENERALISE, CLASS = 0.25, 0.9, 2.0
+#: Weight of the prior in P(e | t), in occurrences.
+PRIOR = 1.0
 SPAN = "array<struct<s:int,o:int,e:int,k:string,v:string>>"
+#: Values in a block of a running fold: appending copies a block, and the list of blocks once for each.
+FOLD_BLOCK = 256
+
+
+def running(x: Column, merge) -> Column:
+    """Running sums or maxima of an integer array, from 0, in blocks, so that no append copies the whole result."""
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("at"), none.alias("block"), F.array().cast("array<array<int>>").alias("done"))
+
+    def step(acc, v):
+        at, full = merge(acc["at"], v), F.size(acc["block"]) >= FOLD_BLOCK
+        block = F.concat(F.when(full, none).otherwise(acc["block"]), F.array(at))
+        return F.struct(at.alias("at"), block.alias("block"), F.when(full, F.concat(acc["done"], F.array(acc["block"]))).otherwise(acc["done"]).alias("done"))
+
+    return F.aggregate(x, start, step, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["block"]))))
 
 
 def located(text: Column, pattern: str) -> Column:
     """All matches as (s, e, v): start and end in code points, and the match.
 
-    Starts are sums over the pieces between matches.
+    Ends are running sums over the pieces between matches and the matches.
     """
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = let(match, lambda m: F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda v, g: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), v.alias("v"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,v:string>>").alias("out"))
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        return F.struct((s + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["v"].alias("v")))).alias("out"))
+    def placed(m):
+        sizes = F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda v, g: F.length(g) + F.length(v))
+        return F.zip_with(m, running(sizes, lambda a, b: a + b), lambda v, e: F.struct((e - F.length(v)).alias("s"), e.alias("e"), v.alias("v")))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), let(match, placed)).otherwise(F.array().cast("array<struct<s:int,e:int,v:string>>"))
 
 
 def _digits(v: Column) -> Column:
@@ -98,85 +122,117 @@ def _kind_spans(text: Column, o: int, kind: str) -> Column:
     return F.when(hint, spans).otherwise(F.array().cast(SPAN))
 
 
+def identifiers(kind: Column, value: Column) -> Column:
+    """The protected entities of a finding: itself, and its identifying parts, each marked by its sort."""
+    low = F.lower(value)
+    digits = _digits(value)
+    mark = lambda sort, x: F.concat(F.lit(sort + ":"), x)
+    parts = (
+        F.when(kind == "email", F.array(mark("user", F.substring_index(low, "@", 1)), mark("domain", F.substring_index(low, "@", -1))))
+        .when(kind == "ip", F.array(mark("net", F.substring_index(low, ".", 3))))
+        .when(kind == "card", F.array(mark("issuer", F.substring(digits, 1, 6))))
+        .otherwise(F.array(mark("line", F.substring(digits, F.lit(1), F.length(digits) - 4))))
+    )
+    return F.concat(F.array(mark("whole", low)), parts)
+
+
+def masked(text: Column) -> Column:
+    """The text, of equal length, with MASK for the letters of its emails."""
+    plain = F.translate(text, MASK, " ")
+
+    def joined(gaps):
+        found = F.concat(F.regexp_extract_all(plain, F.lit(PATTERNS["email"]), F.lit(0)), F.array(F.lit("")))
+        return F.array_join(F.zip_with(gaps, found, lambda g, v: F.concat(g, F.regexp_replace(v, "[A-Za-z]", MASK))), "")
+
+    return F.when(text.contains("@") & plain.rlike(PATTERNS["email"]), let(F.split(plain, PATTERNS["email"], -1), joined)).otherwise(plain)
+
+
 def _context_terms(text: Column, spans: Column) -> Column:
-    """Terms around each finding: (entity, hash of the context, term, s, e), without those inside a finding or cut off."""
+    """Terms around each finding: (kind, value, term, s), without those that reach into a finding or that the window cuts."""
 
-    def around(x):
-        lo = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        hi = F.least(x["e"] + CONTEXT, F.length(text))
-        part = F.substring(text, lo + 1, hi - lo)
-        terms = let(part, lambda p: F.transform(located(p, TERM), lambda t: F.struct(x["k"].alias("kind"), F.lower(x["v"]).alias("entity"), F.xxhash64(p).alias("context"), F.lower(t["v"]).alias("term"), (t["s"] + lo).alias("s"), (t["e"] + lo).alias("e"))))
-        whole = lambda t: ((t["s"] > lo) | (lo == 0)) & ((t["e"] < hi) | (hi == F.length(text)))
-        return F.filter(terms, lambda t: whole(t) & ~F.exists(spans, lambda y: (t["s"] < y["e"]) & (y["s"] < t["e"])))
+    def around(t):
+        size = F.length(t) - 2  # a space is on each side
 
-    return F.flatten(F.transform(spans, around))
+        def terms(x):
+            lo = F.greatest(x["s"] - CONTEXT, F.lit(0))
+            part = F.lower(F.substring(t, lo + 1, F.least(x["e"] + CONTEXT, size) - lo + 2))
+            return F.transform(located(part, WHOLE_TERM), lambda w: F.struct(x["k"].alias("kind"), x["v"].alias("value"), w["v"].alias("term"), (lo + w["s"]).alias("s")))
+
+        return F.flatten(F.transform(spans, terms))
+
+    return let(F.concat(F.lit(" "), masked(text), F.lit(" ")), around)
 
 
 def findings(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, key (a hash of the text), n_chars, spans, terms."""
+    """One row per document: doc_id, key (a hash of the text), row (a number, once written), spans, terms."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).select("doc_id", "__t", base_spans(F.col("__t")).alias("spans"))
-    none = F.array().cast("array<struct<kind:string,entity:string,context:bigint,term:string,s:int,e:int>>")
+    none = F.array().cast("array<struct<kind:string,value:string,term:string,s:int>>")
     terms = F.when(F.size("spans") > 0, _context_terms(F.col("__t"), F.col("spans"))).otherwise(none)
-    return rows.select("doc_id", F.xxhash64("__t").alias("key"), F.length("__t").cast("long").alias("n_chars"), "spans", terms.alias("terms"))
-
+    return rows.select("doc_id", F.xxhash64("__t").alias("key"), F.monotonically_increasing_id().alias("row"), "spans", terms.alias("terms"))
 
-def disclosive(docs: DataFrame, found: DataFrame, least: int = LEAST_CONTEXTS, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): terms whose PMI reaches the share `generalise` of the entity's information content."""
-    near = found.select("doc_id", "key", F.explode("terms").alias("x")).select("doc_id", "key", "x.*")
-    joint = near.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("n_te"), F.count(F.lit(1)).alias("contexts")).filter(F.col("contexts") >= least)
-    entities = found.select(F.explode("spans").alias("x")).groupBy(F.lower("x.v").alias("entity")).agg(F.count(F.lit(1)).alias("n_e"))
-    size = float(found.agg(F.sum("n_chars").alias("n")).first()["n"] or 1)
 
-    def share(n_t: str) -> Column:
-        return F.lit(1.0) + F.log(F.least(F.col("n_te") / F.col(n_t), F.lit(1.0))) / F.log(F.greatest(F.lit(size) / F.col("n_e"), F.lit(2.0)))
-
-    # a term occurs at least as often as near any entity: most pairs end here, before the corpus is counted
-    seen = near.select("doc_id", "key", "s", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
-    pairs = materialize(joint.join(seen, "term").join(entities, "entity").filter(share("n_near") >= generalise).select("entity", "term", "n_te", "n_e"), "pii-pairs")
-    wanted = materialize(pairs.select("term").distinct(), "pii-terms")
+def vocabulary(docs: DataFrame) -> DataFrame:
+    """(term, n_t): how often each word, lower-cased, occurs in all texts; words are runs of letters."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\P{L}+")).alias("term"))
-    total = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    return pairs.join(total, "term").select("entity", "term", share("n_t").alias("share")).filter(F.col("share") >= generalise)
-
+    return words.filter(F.length("term") >= 4).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
 
-def _places(text: Column, shares: Column, remove: float) -> Column:
-    """All places of the terms in the map shares, outside findings and ordered, as (s, o, e, k, v). Only hits are gathered."""
-    match = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    gaps = F.split(text, TERM, -1)
-    pairs = let(match, lambda m: F.zip_with(m, F.slice(gaps, F.lit(1), F.size(m)), lambda v, g: F.struct(F.length(g).alias("g"), F.length(v).alias("n"), F.element_at(shares, F.lower(v)).alias("share"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc, x):
-        s = acc["at"] + x["g"]
-        verdict = F.when(x["share"] >= remove, F.lit("removed")).otherwise(F.lit("generalised"))
-        span = F.struct(s.alias("s"), F.lit(len(KINDS)).alias("o"), (s + x["n"]).alias("e"), F.lit("term").alias("k"), verdict.alias("v"))
-        return F.struct((s + x["n"]).alias("at"), F.when(x["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span))).alias("out"))
+def left_bits(n_te: Column, n_t: Column, n_e: Column, n: float) -> Column:
+    """What a term leaves unknown of an entity: IC(e) - PMI(t; e), with P(e | t) smoothed."""
+    posterior = (F.least(n_te, n_t) + F.lit(PRIOR) * n_e / F.lit(n)) / (n_t + F.lit(PRIOR))
+    information = -F.log2(F.least(n_e / F.lit(n), F.lit(1.0)))
+    return information - (F.log2(posterior) + information)
 
-    hits = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return let(base_spans(text), lambda spans: F.filter(hits, lambda t: ~F.exists(spans, lambda y: (t["s"] < y["e"]) & (y["s"] < t["e"]))))
 
+def disclosive(found: DataFrame, words: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, least_class: float = CLASS) -> DataFrame:
+    """(term, bits, put): terms that leave at most `generalise` bits of some entity, the least they leave, and what they become.
 
-def term_spans(docs: DataFrame, pairs: DataFrame, remove: float = REMOVE) -> DataFrame:
-    """(doc_id, key, more): every place of a disclosive term in each text that has any, near its entity or not.
-
-    Words are looked up without their texts; the texts that hold a term are then picked by id and hash.
+    words: the materialized vocabulary.
     """
-    terms = checked(materialize(pairs.groupBy("term").agg(F.max("share").alias("share")), "pii-disclosive"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t")).withColumn("key", F.xxhash64("__t"))
-    words = rows.select("doc_id", "key", F.explode(F.array_distinct(F.split(F.lower("__t"), r"\P{L}+"))).alias("term"))
-    held = words.join(terms, "term").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
-    held = checked(materialize(held.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "shares"), "pii-held"))
-    hit = null_safe_join(rows, held, [("doc_id", "__id"), ("key", "__key")])
-    return hit.select("doc_id", "key", _places(F.col("__t"), F.col("shares"), remove).alias("more")).filter(F.size("more") > 0).dropDuplicates(["doc_id", "key"])
+    near = found.select("row", F.explode("terms").alias("x")).select("row", F.explode(identifiers(F.col("x.kind"), F.col("x.value"))).alias("entity"), "x.term", "x.s")
+    joint = near.groupBy("entity", "term").agg(F.count_distinct("row", "s").alias("n_te"))  # an occurrence near two findings counts once
+    entities = found.select(F.explode("spans").alias("x")).select(F.explode(identifiers(F.col("x.k"), F.col("x.v"))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    n = float(words.agg(F.sum("n_t").alias("n")).first()["n"] or 1)
+    pairs = joint.join(words, "term").join(entities, "entity").withColumn("bits", left_bits(F.col("n_te"), F.col("n_t"), F.col("n_e"), n))
+    held = materialize(pairs.filter(F.col("bits") <= generalise), "pii-pairs")
+    terms = held.groupBy("term").agg(F.min("bits").alias("bits"))
+    prefix = lambda x: F.transform(F.sequence(F.lit(2), F.length(x) - 1), lambda k: F.substring(x, F.lit(1), k))
+    own = held.select("entity", "term", "n_e", F.explode(prefix(F.col("term"))).alias("prefix"))
+    asked = checked(materialize(own.select("prefix").distinct(), "pii-prefixes"))
+    # words of the class: all with the prefix; the entity meets some of them
+    classes = materialize(words.select("term", "n_t", F.explode(prefix(F.col("term"))).alias("prefix")).join(asked, "prefix", "left_semi").groupBy("prefix").agg(F.sum("n_t").alias("n_t")), "pii-classes")
+    met = joint.select("entity", F.explode(prefix(F.col("term"))).alias("prefix"), "n_te").join(own.select("entity", "prefix").distinct(), ["entity", "prefix"], "left_semi").groupBy("entity", "prefix").agg(F.sum("n_te").alias("n_te"))
+    general = own.join(classes, "prefix").join(met, ["entity", "prefix"]).withColumn("left", left_bits(F.col("n_te"), F.col("n_t"), F.col("n_e"), n))
+    safe = general.groupBy("term", "prefix").agg(F.min("left").alias("left")).filter(F.col("left") >= least_class).groupBy("term").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    put = F.when(F.col("bits") <= remove, F.lit("")).otherwise(F.coalesce(F.concat("prefix", F.lit("*")), F.lit("<term>")))
+    return terms.join(safe, "term", "left").select("term", "bits", put.alias("put"))
+
+
+def _places(text: Column, puts: Column) -> Column:
+    """All places of the terms in the map puts, outside findings and ordered, as (s, o, e, k, v); v: what is put there."""
+    held = lambda x: F.element_at(puts, F.lower(x))
+    hits = let(masked(text), lambda t: F.filter(located(t, TERM), lambda x: held(x["v"]).isNotNull()))
+    return F.transform(hits, lambda x: F.struct(x["s"].alias("s"), F.lit(len(KINDS)).alias("o"), x["e"].alias("e"), F.lit("term").alias("k"), held(x["v"]).alias("v")))
+
+
+def held_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(h_id, h_key, puts): the disclosive terms of each text that has any, near their entity or not, by id and text hash."""
+    known = checked(materialize(terms.select("term", "put"), "pii-disclosive"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__t"))
+    words = rows.select("doc_id", F.xxhash64("__t").alias("key"), F.explode(F.array_distinct(F.split(F.lower("__t"), r"\P{L}+"))).alias("term"))
+    held = words.join(known, "term").groupBy("doc_id", "key").agg(F.map_from_entries(F.collect_set(F.struct("term", "put"))).alias("puts"))
+    return checked(materialize(held.select(F.col("doc_id").alias("h_id"), F.col("key").alias("h_key"), "puts"), "pii-held"))
 
 
 def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _with_terms(rows: DataFrame, places: DataFrame) -> DataFrame:
-    right = places.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "more")
-    return null_safe_join(rows, right, [("doc_id", "__id"), ("key", "__key")], "left").withColumn("more", F.coalesce("more", F.array().cast(SPAN)))
+def _treated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The findings of all documents, and the rows (doc_id, text, h_id, h_key, puts) of those that hold a disclosive term."""
+    found = materialize(findings(docs), "pii-found")
+    words = materialize(vocabulary(docs), "pii-words")
+    return found, held_terms(docs, disclosive(found, words))
 
 
 def detect(docs: DataFrame) -> DataFrame:
@@ -185,42 +241,44 @@ def detect(docs: DataFrame) -> DataFrame:
     Defined cases: a null text is empty and has no findings; repeated rows are judged alike and all returned; texts
     of an id that comes twice are kept apart by their hash; an empty table gives no rows; other columns are ignored.
     """
-    found = materialize(findings(docs), "pii-found")
-    places = materialize(term_spans(docs, disclosive(docs, found)), "pii-places")
-    full = _with_terms(found.select("doc_id", "key", "spans"), places)
+    docs = docs.select("doc_id", "text")
+    found, held = _treated(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("key") == F.col("h_key"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("key"))
+    places = materialize(rows.join(held, same).select("h_id", "h_key", _places(F.col("text"), F.col("puts")).alias("more")).dropDuplicates(["h_id", "h_key"]), "pii-places")
+    full = found.select("doc_id", "key", "spans").join(places, same, "left").select("doc_id", "spans", F.coalesce("more", F.array().cast(SPAN)).alias("more"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long").alias(f"n_{k}")
     return full.select("doc_id", *(count(k) for k in KINDS), F.sha2(_written(F.col("spans")), 256).alias("base_sha256"), _written(F.array_sort(F.concat("spans", "more"))).alias("spans"), F.size("more").cast("long").alias("n_term"))
 
 
-def _redacted(text: Column, spans: Column) -> Column:
-    """The text with each span replaced: a base kind or a generalised term by its name, a removed term by nothing.
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with each ordered span (s, o, e, k, v) replaced: a base kind by its name, a term by what its v says.
 
     Of overlapping spans the first counts, and the rest of a longer later one.
     """
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    put = lambda x: F.when(x["k"] == "term", x["v"]).otherwise(F.concat(F.lit("<"), x["k"], F.lit(">")))
 
-    def step(acc, x):
-        put = F.when((x["k"] == "term") & (x["v"] == "removed"), F.lit("")).otherwise(F.concat(F.lit("<"), x["k"], F.lit(">")))
-        kept = F.substring(text, acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0)))
-        nxt = F.struct(x["e"].alias("at"), F.concat(acc["out"], F.array(kept, put)).alias("out"))
-        return F.when(x["e"] > acc["at"], nxt).otherwise(acc)
+    def pieces(reach):
+        before = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+        parts = F.zip_with(spans, before, lambda x, at: F.when(x["e"] > at, F.concat(F.substring(text, at + 1, F.greatest(x["s"] - at, F.lit(0))), put(x))).otherwise(F.lit("")))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(reach, -1) + 1, F.length(text)))
 
-    done = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, F.length(text)))))
-    return F.array_join(done, "")
+    return let(running(F.transform(spans, lambda x: x["e"]), lambda a, b: F.greatest(a, b)), pieces)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """The documents with findings and disclosive terms replaced in their texts; a null text stays null.
+    """The documents with findings and disclosive terms replaced in their texts.
 
-    The patterns run again on each text rather than moving texts to their spans; only the few rows with term spans
-    are joined.
+    The patterns run again on each text rather than moving texts to their spans; only the terms that a text holds are joined.
+    Defined cases: a null text stays null and an empty one empty; repeated rows are treated alike and all returned; a null id
+    is an id like any other; an empty table gives no rows; all columns are kept, whatever their names.
     """
-    found = materialize(findings(docs), "pii-found")
-    places = materialize(term_spans(docs, disclosive(docs, found)), "pii-places")
-    names = docs.columns
-    mine = docs.select(*(F.col(c) for c in names), F.xxhash64(F.coalesce("text", F.lit(""))).alias("__key"), base_spans(F.col("text")).alias("__spans"))
-    right = places.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "more")
-    full = null_safe_join(mine, right, [("doc_id", "__id"), ("__key", "__k")], "left")
-    spans = full.select("*", F.array_sort(F.concat("__spans", F.coalesce("more", F.array().cast(SPAN)))).alias("__all"))
-    text = F.when(F.size("__all") > 0, _redacted(F.col("text"), F.col("__all"))).otherwise(F.col("text"))
-    return spans.select(*(text.alias(c) if c == "text" else F.col(c) for c in names))
+    narrow = docs.select("doc_id", "text")
+    _, held = _treated(narrow)
+    row = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    text = F.col("row.text")
+    full = row.join(held, F.col("row.doc_id").eqNullSafe(F.col("h_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("h_key")), "left")
+    spans = full.select("row", base_spans(text).alias("base"), F.when(F.col("puts").isNotNull(), _places(text, F.col("puts"))).otherwise(F.array().cast(SPAN)).alias("more"))
+    every = spans.select("row", F.array_sort(F.concat("base", "more")).alias("every"))
+    done = F.when(F.size("every") > 0, redacted(text, F.col("every"))).otherwise(text)
+    return every.select(*(done.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
