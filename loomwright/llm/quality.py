@@ -7,6 +7,10 @@ distance exceeds a cutoff are rejected. Everything is DataFrame functions.
 A concentration step is one aggregation: distances are binned on a fine logarithmic grid and moments are summed by
 (group, bin) with partial aggregation, so a hot group never meets in one task; the h-subset is the lowest bins that
 hold at least the support fraction of the group. Steps read the small statistics table, never the texts.
+
+Every group is judged by its own estimate, whatever its size: a group's moments are shrunk towards those of its language, and
+these towards those of all documents, as if the wider estimate were SHRINK documents more. So the weight of a group's own
+documents grows smoothly, n / (n + SHRINK).
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ STATS = {
     "x_repeat": 0.055,  # share of words in repeated 8-word windows; under 0.3 where the fixed rules hold
 }
 SUPPORT = 0.75
-STEPS = 4
+#: Most concentration steps, and the change of the groups' mean log determinant below which they end.
+STEPS, SETTLED = 8, 1e-3
+#: Documents that the wider estimate counts for in a narrower one.
+SHRINK = 50.0
 #: Share of normal data within the cutoff.
 WITHIN = 0.999
-#: Groups of fewer documents are judged with the pooled estimate of all documents.
-LEAST_GROUP = 100
 BINS_PER_OCTAVE = 16
 WINDOW_WORDS = 8
 
@@ -139,6 +144,7 @@ def consistency(support: float, p: int) -> float:
 
 
 NAMES = list(STATS)
+GROUP = ["g_lang", "g_source"]
 #: Squared distance beyond which a document is rejected.
 CUTOFF = chi2_quantile(WITHIN, len(NAMES))
 PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
@@ -174,48 +180,66 @@ def with_distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", d2).drop(*(f"z{i}" for i in range(len(NAMES))), *MODEL_COLUMNS)
 
 
-def _concentrate(rows: DataFrame, by: list[str], factor: float) -> DataFrame:
-    """The model of the support share of each group's rows that are closest by d2."""
-    grid = F.floor(F.log2(F.greatest("d2", F.lit(2.0**-10))) * BINS_PER_OCTAVE).cast("int")
-    bins = _moments(rows.withColumn("bin", grid), [*by, "bin"])
-    own = Window.partitionBy(*by)
-    ranked = bins.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
+SUMS = ["n", *(f"s{i}" for i in range(len(NAMES))), *(f"q{i}_{j}" for i, j in PAIRS)]
+
+
+def _closest(bins: DataFrame, by: list[str]) -> DataFrame:
+    """Summed moments of the lowest bins that hold the support share of each group of `by`; bins: one row for each of GROUP and bin."""
+    sums = bins.groupBy(*by, "bin").agg(*(F.sum(c).cast("double").alias(c) for c in SUMS))
+    own = Window.partitionBy(*(by or [F.lit(0)]))  # at most as many rows as bins
+    ranked = sums.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("all", F.sum("n").over(own))
     near = ranked.filter(F.col("upto") - F.col("n") < F.lit(SUPPORT) * F.col("all"))
-    return _model(near.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(len(NAMES))), *(f"q{i}_{j}" for i, j in PAIRS)])), by, factor)
+    return near.groupBy(*by).agg(*(F.sum(c).alias(c) for c in SUMS))
+
+
+def shrunk(bins: DataFrame) -> DataFrame:
+    """Each group's moments, with those of its language added, which have those of all documents added.
+
+    At each level the subset is chosen anew, so that a group that consists of outliers does not draw the wider estimates.
+    """
+    total = _closest(bins, []).first()  # nulls if there are no rows
+    langs = _closest(bins, GROUP[:1]).select(GROUP[0], *((F.col(c) + F.lit(SHRINK * (total[c] or 0.0) / (total["n"] or 1.0))).alias(c) for c in SUMS))
+    right = langs.select(F.col(GROUP[0]).alias("w_lang"), *(F.col(c).alias(f"w_{c}") for c in SUMS))
+    both = null_safe_join(_closest(bins, GROUP), right, [(GROUP[0], "w_lang")], "left")
+    return both.select(*GROUP, *((F.col(c) + F.lit(SHRINK) * F.col(f"w_{c}") / F.col("w_n")).alias(c) for c in SUMS))
 
 
-def fit(stats: DataFrame, by: list[str], steps: int = STEPS) -> DataFrame:
+def _concentrate(rows: DataFrame, factor: float) -> DataFrame:
+    """The model of each group's rows that are closest by d2."""
+    grid = F.floor(F.log2(F.greatest("d2", F.lit(2.0**-10))) * BINS_PER_OCTAVE).cast("int")
+    bins = materialize(_moments(rows.withColumn("bin", grid), [*GROUP, "bin"]), "quality-bins")
+    return _model(shrunk(bins), GROUP, factor)
+
+
+def fit(stats: DataFrame, steps: int = STEPS) -> DataFrame:
     """The minimum-covariance-determinant model of each group: one row for each.
 
-    The start is the group's mean and the least spreads alone; each step can only lower the determinant.
+    Steps end when the mean of the groups' log determinants settles. (On binned subsets and with shrinkage a single step need not
+    lower each determinant.)
     """
     factor = consistency(SUPPORT, len(NAMES))
-    model = materialize(_start(stats, by), "quality-model")
+    model, last = materialize(_start(stats), "quality-model"), None
     for _ in range(steps):
-        near = _join_model(stats, model, by)
-        step = materialize(_concentrate(with_distance(near), by, factor), "quality-model")
+        near = _join_model(stats, model)
+        step = materialize(_concentrate(with_distance(near), factor), "quality-model")
         discard(model)
         model = step
+        now = model.agg(F.avg(sum((F.log(f"l{i}_{i}") for i in range(len(NAMES))), F.lit(0.0))).alias("d")).first()["d"]
+        if now is None or (last is not None and abs(now - last) < SETTLED):
+            break
+        last = now
     return model
 
 
-def _start(stats: DataFrame, by: list[str]) -> DataFrame:
+def _start(stats: DataFrame) -> DataFrame:
     """Coordinate-wise medians with the least spreads as the scatter: robust, so that junk does not draw the start."""
-    med = stats.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(NAMES)))
+    med = stats.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(NAMES)))
     return med.select("*", *(F.lit(STATS[NAMES[i]] if i == j else 0.0).alias(f"l{i}_{j}") for i, j in PAIRS))
 
 
-def _with_row(rows: DataFrame, model: DataFrame, prefix: str) -> DataFrame:
-    """Adds the numbers of a model of one row as literals."""
-    one = model.first()
-    return rows.withColumns({f"{prefix}{c}": F.lit(one[c] if one else None).cast("double") for c in MODEL_COLUMNS})
-
-
-def _join_model(stats: DataFrame, model: DataFrame, by: list[str]) -> DataFrame:
-    if not by:
-        return _with_row(stats, model, "")
-    right = model.select(*(F.col(c).alias(f"__{c}") for c in by), *MODEL_COLUMNS)
-    return null_safe_join(stats, right, [(c, f"__{c}") for c in by], "left")
+def _join_model(stats: DataFrame, model: DataFrame) -> DataFrame:
+    right = model.select(*(F.col(c).alias(f"__{c}") for c in GROUP), *MODEL_COLUMNS)
+    return null_safe_join(stats, right, [(c, f"__{c}") for c in GROUP], "left")
 
 
 def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -225,15 +249,9 @@ def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     read the statistics' columns alone.
     """
     named = docs.select(*keep, "text", F.col("lang").alias("g_lang"), F.col("source").alias("g_source"))
-    stats = materialize(vector(text_statistics(named, [*keep, "g_lang", "g_source"])).withColumn("base_failed", base_failed()), "quality-stats")
-    sound = stats.filter(~F.col("base_failed"))
-    by = ["g_lang", "g_source"]
-    groups = fit(sound, by)
-    pooled = fit(sound, [])
-    sizes = sound.groupBy(*by).agg(F.count(F.lit(1)).alias("n_all"))
-    both = null_safe_join(groups, sizes.select(F.col("g_lang").alias("__a"), F.col("g_source").alias("__b"), "n_all"), [("g_lang", "__a"), ("g_source", "__b")])
-    chosen = materialize(_with_row(both, pooled, "p_").select(*by, *(F.when(F.col("n_all") >= LEAST_GROUP, F.col(c)).otherwise(F.col(f"p_{c}")).alias(c) for c in MODEL_COLUMNS)), "quality-chosen")
-    far = with_distance(_join_model(stats, chosen, by))
+    stats = materialize(vector(text_statistics(named, [*keep, *GROUP])).withColumn("base_failed", base_failed()), "quality-stats")
+    model = fit(stats.filter(~F.col("base_failed")).select(*GROUP, *NAMES))
+    far = with_distance(_join_model(stats, model))
     verdict = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
     return far.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", verdict.alias("kept"), "d2")
 
@@ -241,14 +259,17 @@ def _judged(docs: DataFrame, keep: list[str]) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, the base statistics, base_failed, kept, d2 (null where no group has an estimate).
 
-    Defined cases: a null or empty text has no words and fails; null lang or source is a group like any other; a group
-    of under LEAST_GROUP documents is judged by the estimate of all documents; identical rows get identical
-    verdicts; an empty table gives no rows; further columns are ignored, whatever their names.
+    Defined cases: a null or empty text has no words and fails; null lang or source is a group like any other, and so is a
+    group of one document; identical rows get identical verdicts; an empty table gives no rows; further columns are
+    ignored, whatever their names.
     """
     return _judged(docs.select("doc_id", "text", "lang", "source"), ["doc_id"])
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns. Each row is judged by itself, repeated ids included."""
+    """The documents that pass, with all their columns, whatever their names.
+
+    Each row is judged by itself, repeated ids and rows included; a null or empty text fails; an empty table gives no rows.
+    """
     whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("__row"), "text", "lang", "source")
     return _judged(whole, ["__row"]).filter("kept").select("__row.*")

@@ -53,23 +53,75 @@ def test_query_and_labels(spark):
     assert np.mean([r["kept"] for r in passed if labels.get(r["doc_id"]) == 0]) < 0.2
 
 
+def concentration(x, groups):
+    """The estimate in numpy: binned concentration steps for each group, shrunk to its language and to all. (means, factors) by group."""
+    p, least = x.shape[1], np.array(list(quality.STATS.values()))
+    own = {g: x[[k for k, y in enumerate(groups) if y == g]] for g in dict.fromkeys(groups)}
+    model = {g: (np.sort(v, axis=0)[(len(v) - 1) // 2], np.diag(least)) for g, v in own.items()}
+    last = None
+    for _ in range(quality.STEPS):
+        d2 = {g: (np.linalg.solve(model[g][1], (v - model[g][0]).T) ** 2).sum(axis=0) for g, v in own.items()}
+
+        def closest(names):
+            v = np.concatenate([own[g] for g in names])
+            bins = np.floor(np.log2(np.maximum(np.concatenate([d2[g] for g in names]), 2.0**-10)) * quality.BINS_PER_OCTAVE).astype(int)
+            use = v[np.array([(bins < k).sum() for k in bins]) < quality.SUPPORT * len(v)]
+            return len(use), use.sum(axis=0), use.T @ use
+
+        add = lambda a, b, w: tuple(s + w * t / b[0] for s, t in zip(a, b, strict=True))
+        total = closest(list(own))
+        langs = {lang: add(closest([g for g in own if g[0] == lang]), total, quality.SHRINK) for lang in {g[0] for g in own}}
+        for g in own:
+            n, s, q = add(closest([g]), langs[g[0]], quality.SHRINK)
+            mean = s / n
+            scatter = quality.consistency(quality.SUPPORT, p) * (q / n - np.outer(mean, mean)) + np.diag(least**2)
+            model[g] = (mean, np.linalg.cholesky(scatter))
+        now = np.mean([np.log(np.diag(low)).sum() for _, low in model.values()])
+        if last is not None and abs(now - last) < quality.SETTLED:
+            break
+        last = now
+    return model
+
+
+def distances(x, groups, model):
+    return np.array([(np.linalg.solve(model[g][1], v - model[g][0]) ** 2).sum() for v, g in zip(x, groups, strict=True)])
+
+
 def test_fit_is_a_robust_estimate(spark):
-    """Against the concentration steps in numpy, and not drawn by a fifth of outliers."""
+    """Equal to the concentration steps in numpy, and not drawn by a fifth of outliers; small groups borrow from wider ones."""
     rng = np.random.default_rng(1)
-    clean = rng.normal([1.6, 0, 0, 0, 0], [0.2, 0.3, 0.3, 0.2, 0.2], (800, 5))
-    x = np.concatenate([clean, rng.normal(6, 0.1, (200, 5))])
-    df = spark.createDataFrame([(None, "s", *map(float, r)) for r in x], "g_lang string, g_source string, " + ", ".join(f"{n} double" for n in quality.NAMES))
-    m = quality.fit(df, ["g_lang", "g_source"]).first()
-    mean = np.array([m[f"m{i}"] for i in range(5)])
-    low = np.zeros((5, 5))
-    for i, j in quality.PAIRS:
-        low[i, j] = m[f"l{i}_{j}"]
-    assert np.allclose(mean, clean.mean(axis=0), atol=0.05)
-    far = np.linalg.solve(low, (x - mean).T)
-    d2 = (far**2).sum(axis=0)
-    assert d2[800:].min() > quality.CUTOFF > d2[:800].max()
-    got = quality.with_distance(quality._join_model(df, quality.fit(df, ["g_lang", "g_source"]), ["g_lang", "g_source"])).select("d2").toPandas()["d2"]
-    assert np.allclose(np.sort(got), np.sort(d2), rtol=1e-6)
+    clean = rng.normal([1.6, 0, 0, 0, 0], [0.2, 0.3, 0.3, 0.2, 0.2], (400, 5))
+    x = np.concatenate([clean, rng.normal(6, 0.1, (100, 5)), rng.normal([1.8, 0, 0, 0, 0], 0.2, (6, 5)), rng.normal(9, 0.1, (1, 5))])
+    groups = [(None, "s")] * 500 + [("en", "t")] * 6 + [("en", None)]
+    df = spark.createDataFrame([(k, *g, *map(float, r)) for k, (g, r) in enumerate(zip(groups, x, strict=True))], "k long, g_lang string, g_source string, " + ", ".join(f"{n} double" for n in quality.NAMES))
+    got = quality.with_distance(quality._join_model(df, quality.fit(df))).select("k", "d2").toPandas().sort_values("k")["d2"].to_numpy()
+    model = concentration(x, groups)
+    assert np.allclose(got, distances(x, groups, model), rtol=1e-6)
+    assert np.allclose(model[None, "s"][0], clean.mean(axis=0), atol=0.06)
+    assert got[400:500].min() > quality.CUTOFF > got[:400].max()
+    assert got[500:506].max() < quality.CUTOFF < got[506]
+
+
+def test_query_verdicts_equal_numpy(spark):
+    """All documents of the table, by group: distances and verdicts."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = {r["doc_id"]: r for r in op8_quality(spark, sf).collect()}
+    sound = [i for i, r in rows.items() if not r["base_failed"]]
+
+    def vector(i):
+        t = docs[i]["text"] or ""
+        n, chars, symbols, dup, repeat, _ = brute(t)
+        lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in t.split("\n"))
+        punct = len(re.findall(r"[!?=_~^{}\[\]\\]", t))
+        return [np.log((chars + 200) / (n + 40)), np.sqrt(symbols / (n + 20)), np.sqrt(punct / (n + 20)), dup / (lines + 4), repeat / (n + 20)]
+
+    x, groups = np.array([vector(i) for i in sound]), [(docs[i]["lang"], docs[i]["source"]) for i in sound]
+    assert len(set(groups)) > 50
+    want = distances(x, groups, concentration(x, groups))
+    assert np.allclose([rows[i]["d2"] for i in sound], want, rtol=1e-5, atol=1e-7)
+    assert [rows[i]["kept"] for i in sound] == (want <= quality.CUTOFF).tolist()
+    assert any(want > quality.CUTOFF)
 
 
 def test_consistency_factor():
