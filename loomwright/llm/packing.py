@@ -8,7 +8,11 @@ other in one token stream that is cut into sequences of `seq_len`; the last, sho
 Because a queue's share after r rounds is floor(deficit + r * quantum), every piece's place follows from the
 document's offset in its queue alone. So documents are tokenised once, offsets come from sums over (source,
 chunk), and pieces are placed in parallel, without a shuffle of tokens and without state between tasks: deficits
-carry over windows and partitions by arithmetic. The driver sees one row per source.
+carry over windows and partitions by arithmetic.
+
+A source whose share is at least 1 / OWN has a queue of its own; there are at most OWN of those. Smaller ones share TAILS queues by
+hash, each with the weight of its sources, and are served in order of chunk there. So the driver and each task know at most
+OWN + TAILS + 1 queues, whatever the number of sources.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 FRACTION = 1 << 16
+#: Queues of single sources, and queues that smaller sources share.
+OWN, TAILS = 256, 16
 #: Chunks kept per worker for encoding, and the longest chunk that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 800_000, 48
 
@@ -55,8 +61,8 @@ class ChunkEncoder:
 
     Byte-level pre-tokenisation never joins across a single space between two non-space characters, so a text's
     ids are those of its chunks " word"; these are remembered, and only new ones are encoded, by a merge engine that is built
-    from the same file. A text's first chunk has no space before it and is remembered apart. Tokenizers that are not plain
-    byte-level BPE encode whole texts.
+    from the same file. A text's first chunk has no space before it and is remembered apart. Texts that hold an added token of
+    the file, and all texts of tokenizers that are not plain byte-level BPE, are encoded whole by the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -66,7 +72,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.kind = np.dtype("<u2") if self.tok.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         code = "H" if self.kind.itemsize == 2 else "I"
         self.merger = _merger(path)
@@ -80,6 +87,9 @@ class ChunkEncoder:
             return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
         out, known = [], self.chunks.__getitem__
         for t in texts:
+            if self.added and self.added.search(t):
+                out.append(np.array(self.tok.encode(t, add_special_tokens=False).ids, self.kind).tobytes())
+                continue
             parts = self.cut.split(t) if self.double.search(t) else t.split(" ")
             out.append(self.heads[parts[0]] + b"".join(map(known, islice(parts, 1, None))))
         return out
@@ -263,21 +273,38 @@ def place(plan: Plan, queue: int, start: int, n: int) -> list[tuple[int, int, in
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+def _served(sums: DataFrame, weights: dict[str, float] | None) -> tuple[DataFrame, dict[str, float] | None]:
+    """sums with the queue that serves each source, and the served queues' weights (None: their totals)."""
+    source = F.col("queue")
+    tail = F.concat(F.lit("tail "), F.pmod(F.xxhash64(source), F.lit(TAILS)).cast("string"))
+    if weights is None:
+        by_source = sums.groupBy("queue").agg(F.sum("n").alias("n"))
+        whole = by_source.agg(F.sum("n").alias("n")).first()["n"] or 0
+        own = [r["queue"] for r in by_source.filter(F.col("n") * OWN >= whole).select("queue").collect()]  # at most OWN
+        return sums.withColumn("served", F.when(source.isin(own), source).otherwise(tail)), None
+    keyed = {("null" if s is None else f"={s}"): float(w) for s, w in weights.items() if w > 0}
+    whole = sum(keyed.values())
+    own = {s: w for s, w in keyed.items() if w * OWN >= whole}
+    small = F.when(source.isin([s for s in keyed if s not in own]), F.lit("tail of targets")).otherwise(tail)
+    return sums.withColumn("served", F.when(source.isin(list(own)), source).otherwise(small)), own | {"tail of targets": whole - sum(own.values())}
+
+
 def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, weights: dict[str, float] | None = None, window_sequences: int = 64, with_ids: bool = False) -> DataFrame:
     """Pack documents (doc_id, source, text) into sequences; one row per piece.
 
     weights: target share of each source (default: its share of all tokens). Window: window_sequences sequences, in
-    which each source's tokens are within one of its share while it has any. Defined cases: a null or empty text is the end id alone; a null source is
-    one more queue; repeated rows are packed as often as they come; an empty table gives no rows; a text of any
-    length is cut freely. with_ids adds the piece's ids as little-endian bytes, for training.
+    which each queue's tokens are within one of its share while it has any. A window of more sequences cuts documents in fewer
+    pieces; one sequence gives each the target mixture. Defined cases: a null or empty text is the end id alone; a null source is
+    one more queue; a source without a target weight is served last and slowly; repeated rows are packed as often as they come; an
+    empty table gives no rows; a text of any length is cut freely; texts that hold special tokens get their ids, as from the plain
+    tokenizer; further columns are ignored, whatever their names. with_ids adds the piece's ids as little-endian bytes, for training.
     """
     tokens = materialize(tokenise(docs, tokenizer), "packing-tokens")
-    sums = tokens.groupBy("queue", "chunk").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
-    base = materialize(sums.select("queue", "chunk", "n", F.coalesce(before, F.lit(0)).alias("queue_start")), "packing-base")
-    totals = {r["queue"]: int(r["n"]) for r in base.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    keyed = {("null" if s is None else f"={s}"): v for s, v in (weights or {}).items()} or None
-    plan = plan_rounds(totals, keyed, seq_len * window_sequences)
+    sums, targets = _served(materialize(tokens.groupBy("queue", "chunk").agg(F.sum("n_tokens").alias("n")), "packing-sums"), weights)
+    before = F.sum("n").over(Window.partitionBy("served").orderBy("chunk", "queue").rowsBetween(Window.unboundedPreceding, -1))
+    base = materialize(sums.select("queue", "chunk", "served", "n", F.coalesce(before, F.lit(0)).alias("queue_start")), "packing-base")
+    totals = {r["served"]: int(r["n"]) for r in base.groupBy("served").agg(F.sum("n").alias("n")).collect()}
+    plan = plan_rounds(totals, targets, seq_len * window_sequences)
     kind = encoder(tokenizer).kind
     schema = PIECES + (", ids binary" if with_ids else "")
 
@@ -285,7 +312,7 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, weights: dict[str
         names = [f.split()[0] for f in schema.split(", ")]
         for b in batches:
             rows: list[tuple] = []
-            cols = [b.column(c).to_pylist() for c in ("doc_id", "queue", "at", "n_tokens")]
+            cols = [b.column(c).to_pylist() for c in ("doc_id", "served", "at", "n_tokens")]
             for doc, queue, at, n, blob in zip(*cols, b.column("ids"), strict=True):
                 ids = np.frombuffer(blob.as_buffer(), kind).astype("<u4").tobytes()
                 for first, size, pos in place(plan, plan.queues[queue], at, n):
@@ -298,8 +325,8 @@ def pack(docs: DataFrame, tokenizer: str, seq_len: int = 1024, weights: dict[str
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if x == "ids" else pa.int64()) for x, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    placed = tokens.join(base.select("queue", "chunk", "queue_start"), ["queue", "chunk"])
-    return placed.select("doc_id", "queue", (F.col("queue_start") + F.col("chunk_start")).alias("at"), "n_tokens", "ids").mapInArrow(run, schema)
+    placed = tokens.join(base.select("queue", "chunk", "served", "queue_start"), ["queue", "chunk"])
+    return placed.select("doc_id", "served", (F.col("queue_start") + F.col("chunk_start")).alias("at"), "n_tokens", "ids").mapInArrow(run, schema)
 
 
 def padded_share(pieces: DataFrame, seq_len: int = 1024) -> float:

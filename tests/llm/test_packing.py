@@ -4,17 +4,19 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from loomwright.llm import packing
 from loomwright.llm.queries import default_tokenizer, op10_packing
 
 TOK = default_tokenizer()
+PLAIN = Tokenizer.from_file(TOK)
 DOCS = "doc_id long, text string, source string, doc_ids long"
 
 
 def check(rows, texts, seq_len):
     """Every id in one piece, sequences gapless, digests right."""
-    enc = packing.encoder(TOK).tok
+    enc = Tokenizer.from_file(TOK)
     want = sorted((i, tuple(enc.encode(t or "", add_special_tokens=False).ids) + (0,)) for i, t in texts)
     seqs = {}
     by_doc = {}
@@ -42,7 +44,7 @@ def check(rows, texts, seq_len):
 
 
 def test_edges(spark):
-    texts = [(1, None), (2, ""), (3, "a " * 5000), (4, "Hello  world\n\n x \n y's"), (4, "Hello  world\n\n x \n y's"), (5, "<|endoftext|>"), (6, "é" * 300)]
+    texts = [(1, None), (2, ""), (3, "a " * 5000), (4, "Hello  world\n\n x \n y's"), (4, "Hello  world\n\n x \n y's"), (5, "<|endoftext|>"), (7, "a <|endoftext|> b  <|endoftext|>c <|endof"), (6, "é" * 300)]
     df = spark.createDataFrame([(i, t, None if i == 2 else f"s{i % 2}", 1) for i, t in texts], DOCS)
     check(packing.pack(df, TOK, 64, window_sequences=2).collect(), texts, 64)
 
@@ -91,7 +93,7 @@ def test_plan_places_each_token_once(totals, window, data):
 @given(st.text(alphabet=st.sampled_from(" \n\tab'sé1.,中  "), max_size=60))
 def test_chunks_encode_as_whole_texts(text):
     e = packing.encoder(TOK)
-    assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == e.tok.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(e.encode([text])[0], e.kind).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json"])
@@ -99,4 +101,17 @@ def test_other_tokenizers_encode_whole_texts(name):
     import public_tokenizers
 
     e = packing.ChunkEncoder(public_tokenizers.path(name))
-    assert np.frombuffer(e.encode(["Hello there"])[0], e.kind).tolist() == e.tok.encode("Hello there", add_special_tokens=False).ids
+    assert np.frombuffer(e.encode(["Hello there"])[0], e.kind).tolist() == Tokenizer.from_file(public_tokenizers.path(name)).encode("Hello there", add_special_tokens=False).ids
+
+
+def test_many_sources_share_queues(spark, monkeypatch):
+    """More sources than queues: each token is placed once, large sources and target shares are kept in each window."""
+    monkeypatch.setattr(packing, "OWN", 8)
+    texts = [(k, "word " * (k % 7)) for k in range(3000)]
+    rows = [(i, t + ("large " * 30 if i % 10 == 0 else ""), "large" if i % 10 == 0 else f"s{i % 900}", 0) for i, t in texts]
+    df = spark.createDataFrame(rows, DOCS)
+    check(packing.pack(df, TOK, 64).collect(), [r[:2] for r in rows], 64)
+    got = packing.pack(df, TOK, 64, {"large": 3.0, "s1": 0.01, "s2": 0.02, "s3": 1.0}, window_sequences=4).collect()
+    check(got, [r[:2] for r in rows], 64)
+    first = [r for r in got if r["sequence_id"] < 4]
+    assert sum(r["length"] for r in first if r["doc_id"] % 10 == 0) / 256 >= 3 / 4.03  # more, as the sources s1 to s3 run dry
