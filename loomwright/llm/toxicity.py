@@ -4,10 +4,10 @@ A linear classifier on word presence is trained from confirmed toxic texts (P) a
 loss l and classifier f, the risk is p * E_P[l(f)] + max(0, E_U[l(-f)] - p * E_P[l(-f)]): the second term estimates the risk on
 clean texts without any, and its lower bound keeps the estimate from going negative, as it would when P is overfitted.
 
-Training texts are bounded samples, chosen by a hash of the id; every document is scored whole. Features are
-64-bit word hashes that are significantly more frequent in P than in U, and one that tells whether any telling word occurs:
-a word whose share of U is about what toxic texts in U explain, prior * share of P. Only hashes and weights reach
-the driver.
+Features are 64-bit word hashes that are significantly more frequent in P than in U, and one that tells whether any telling word
+occurs: a word whose share of U is about what toxic texts in U explain, prior * share of P. Both shares are counted over all
+training texts by aggregation. Gradient steps use bounded samples, chosen by a hash of the id, of which the driver sees one bit
+for each feature: at most (POSITIVES + UNLABELLED) * FEATURES / 8 bytes in expectation, 12 MB. Every document is scored whole.
 """
 
 from __future__ import annotations
@@ -17,72 +17,84 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_words, materialize, sampled, text_groups
+from .common import checked, crc_mod, hash_words, materialize, sampled, text_groups
 
-#: Bounds of the training samples (in expectation), and of a training text's different words.
+#: Bounds of the samples for gradient steps, in expectation.
 POSITIVES, UNLABELLED = 8_000, 16_000
-FEATURES = 4_000
+#: Most features; least confirmed texts and least z score of one.
+FEATURES, LEAST_TEXTS, LEAST_Z = 4_000, 3, 3.0
 #: Least share of a telling word's texts that toxic ones explain.
 TELLING = 0.75
 
 
-def _presence(rows: DataFrame) -> DataFrame:
-    """(words): the different word hashes of each text."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(word, n_pos, n_all): in how many confirmed and in how many training texts each word occurs. rows: text, toxic."""
 
     def run(batches):
         for b in batches:
-            texts, out = b.column("text").to_pylist(), []
+            texts, toxic = b.column("text").to_pylist(), b.column("toxic").to_numpy(zero_copy_only=False)
             for lo, hi in text_groups(texts):
                 h, off = hash_words(texts[lo:hi], normalised=True)
-                out += [np.unique(h[off[i] : off[i + 1]]).tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["words"])
-
-    return rows.select("text").mapInArrow(run, "words binary")
-
-
-def _collect(rows: DataFrame) -> list[np.ndarray]:
-    return sorted((np.frombuffer(r["words"], np.uint64) for r in _presence(rows).collect()), key=lambda x: (len(x), x.tobytes()))
-
-
-def choose_features(pos: list[np.ndarray], unl: list[np.ndarray], least_texts: int = 3, least_z: float = 3.0, most: int = FEATURES) -> np.ndarray:
-    """Hashes of words that are in significantly more of pos than of unl, at most so many, sorted."""
-    if not pos or not unl:
-        return np.empty(0, np.uint64)
-    words, n_pos = np.unique(np.concatenate(pos), return_counts=True)
-    words, n_pos = words[n_pos >= least_texts], n_pos[n_pos >= least_texts]
-    if not len(words):
-        return np.empty(0, np.uint64)
-    flat = np.concatenate(unl)
-    at = np.minimum(np.searchsorted(words, flat), len(words) - 1)
-    n_unl = np.bincount(at[words[at] == flat], minlength=len(words))
-    p, u = n_pos / len(pos), n_unl / len(unl)
-    both = (n_pos + n_unl) / (len(pos) + len(unl))
-    z = (p - u) / np.sqrt(both * (1 - both) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
-    best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(words[best[z[best] >= least_z]])
+                text = np.repeat(np.arange(hi - lo), np.diff(off))
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (np.diff(h) != 0) | (np.diff(text) != 0)
+                word, at, n = np.unique(h[new], return_inverse=True, return_counts=True)
+                pos = np.bincount(at, toxic[lo:hi][text[new]].astype(np.float64), len(word)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(pos), pa.array(n.astype(np.int64))], names=["word", "n_pos", "n_all"])
+
+    return rows.select("text", "toxic").mapInArrow(run, "word long, n_pos long, n_all long").groupBy("word").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_all").alias("n_all"))
+
+
+def choose_features(counts: DataFrame, n_pos: int, n_all: int, prior: float, most: int = FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The most significant words of confirmed texts as sorted hashes, and which of them are telling."""
+    p, u = F.col("n_pos") / n_pos, F.col("n_all") / n_all
+    both = (F.col("n_pos") + F.col("n_all")) / float(n_pos + n_all)
+    z = (p - u) / F.sqrt(both * (F.lit(1.0) - both) * (1 / n_pos + 1 / n_all) + 1e-12)
+    best = counts.filter(F.col("n_pos") >= LEAST_TEXTS).select("word", z.alias("z"), (prior * p >= TELLING * u).alias("telling")).filter(F.col("z") >= LEAST_Z)
+    rows = best.orderBy(F.desc("z"), "word").limit(most).collect()
+    words = np.array([r["word"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(words)
+    return words[order], np.array([r["telling"] for r in rows], bool)[order]
+
+
+def feature_hits(texts: list[str | None], features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a text's number and a feature's, each once, by text."""
+    h, off = hash_words(texts, normalised=True)
+    if not len(features) or not len(h):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(features, h), len(features) - 1)
+    hit = np.flatnonzero(features[at] == h)
+    pairs = np.unique((np.searchsorted(off, hit, "right") - 1) * len(features) + at[hit])
+    return pairs // len(features), pairs % len(features)
+
+
+def presence(rows: DataFrame, features: np.ndarray) -> np.ndarray:
+    """A row of booleans for each text: which features occur. In an order that does not depend on the partitions."""
 
+    def run(batches):
+        for b in batches:
+            texts, out = b.column("text").to_pylist(), []
+            for lo, hi in text_groups(texts):
+                bits = np.zeros((hi - lo, len(features)), bool)
+                bits[feature_hits(texts[lo:hi], features)] = True
+                out += [x.tobytes() for x in np.packbits(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["bits"])
 
-def telling_words(pos: list[np.ndarray], unl: list[np.ndarray], features: np.ndarray, prior: float) -> np.ndarray:
-    """Which features are telling: prior * share of pos is at least TELLING of the share of unl."""
-    p, u = (Sparse(texts, features, np.zeros(len(features), bool)).shares() for texts in (pos, unl))
-    return prior * p >= TELLING * u
+    got = sorted(bytes(r["bits"]) for r in rows.select("text").mapInArrow(run, "bits binary").collect())
+    packed = np.frombuffer(b"".join(got), np.uint8).reshape(len(got), -1)
+    return np.unpackbits(packed, axis=1, count=len(features)).view(bool)
 
 
 class Sparse:
-    """Presence matrix of texts by chosen features, and a last column for any telling one."""
-
-    def __init__(self, texts: list[np.ndarray], features: np.ndarray, telling: np.ndarray):
-        flat = np.concatenate(texts) if texts else np.empty(0, np.uint64)
-        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-        at = np.minimum(np.searchsorted(features, flat), max(len(features) - 1, 0))
-        hit = features[at] == flat if len(features) else np.zeros(len(flat), bool)
-        row, at = row[hit], at[hit]
-        any_row = np.unique(row[telling[at]])
-        self.row, self.col = np.append(row, any_row), np.append(at, np.full(len(any_row), len(features)))
-        self.shape = (len(texts), len(features) + 1)
+    """Presence matrix of texts by features, and a last column for any telling one."""
 
-    def shares(self) -> np.ndarray:
-        return np.bincount(self.col, minlength=self.shape[1])[:-1] / self.shape[0]
+    def __init__(self, bits: np.ndarray, telling: np.ndarray):
+        row, at = np.nonzero(bits)
+        any_row = np.unique(row[telling[at]])
+        self.row, self.col = np.append(row, any_row), np.append(at, np.full(len(any_row), bits.shape[1]))
+        self.shape = (len(bits), bits.shape[1] + 1)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.shape[0])
@@ -101,22 +113,22 @@ def nn_risk(f_pos: np.ndarray, f_unl: np.ndarray, prior: float) -> tuple[float,
     return prior * loss(f_pos).mean(), loss(-f_unl).mean() - prior * loss(-f_pos).mean()
 
 
-def train(pos: Sparse, unl: Sparse, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and intercept that minimise the non-negative risk, by Adam over whole samples.
+def risk_gradient(pos: Sparse, unl: Sparse, theta: np.ndarray, prior: float) -> np.ndarray:
+    """Of the risk by weights and intercept. Where the estimate for negatives is below zero: that of its negation alone, as the method has it."""
+    n = pos.shape[1]
+    f_p, f_u = pos.dot(theta[:n]) + theta[n], unl.dot(theta[:n]) + theta[n]
+    up = lambda x, g: np.append(x.back(g), g.sum()) / len(g)
+    negative = up(unl, _sigmoid(f_u)) - prior * up(pos, _sigmoid(f_p))
+    return negative - prior * up(pos, _sigmoid(-f_p)) if nn_risk(f_p, f_u, prior)[1] >= 0 else -negative
 
-    Where the estimate for negatives is below zero, its gradient is followed upwards alone, as the method has it.
-    """
+
+def train(pos: Sparse, unl: Sparse, prior: float, rounds: int = 1500, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+    """Weights and intercept that minimise the non-negative risk, by Adam over whole samples."""
     n = pos.shape[1]
     theta, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
     theta[n] = np.log(prior / (1 - prior))
     for t in range(1, rounds + 1):
-        f_p, f_u = pos.dot(theta[:n]) + theta[n], unl.dot(theta[:n]) + theta[n]
-        up = lambda g: np.append(pos.back(g), g.sum())
-        negative = np.append(unl.back(_sigmoid(f_u)), _sigmoid(f_u).sum()) / len(f_u) - prior * up(_sigmoid(f_p)) / len(f_p)
-        if nn_risk(f_p, f_u, prior)[1] >= 0:
-            grad = -prior * up(_sigmoid(-f_p)) / len(f_p) + negative
-        else:
-            grad = -negative
+        grad = risk_gradient(pos, unl, theta, prior)
         grad[:n] += decay * theta[:n]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -146,14 +158,17 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, pri
     share = min(max(prior if prior is not None else n_toxic / max(1, count["n"]), 1e-3), 0.5)
     weights, bias, features, telling = np.zeros(1), float(np.log(share / (1 - share))), np.zeros(0, np.uint64), np.zeros(0, bool)
     if n_toxic:
-        chosen = materialize(_sample(known.filter(F.col("toxic") == 1), n_toxic, positives).select("doc_id").distinct(), "toxic-ids")
+        toxic = checked(materialize(known.filter(F.col("toxic") == 1).select(F.col("doc_id").alias("t_id"), F.lit(True).alias("t")).distinct(), "toxic-ids"))
         train_rows = rows.filter(~F.col("held_out") & F.col("text").isNotNull())
-        pos = _collect(train_rows.join(F.broadcast(chosen), "doc_id", "left_semi"))  # at most about `positives` ids
-        unl = _collect(_sample(train_rows, train_rows.select("doc_id").count(), unlabelled))
-        features = choose_features(pos, unl)
+        marked = train_rows.join(toxic, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.coalesce("t", F.lit(False)).alias("toxic"))
+        seen = marked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("p")).first()
+        n_all, n_pos = int(seen["n"]), int(seen["p"] or 0)
+        if n_pos:
+            features, telling = choose_features(materialize(word_counts(marked), "toxic-words"), n_pos, n_all, share)
         if len(features):
-            telling = telling_words(pos, unl, features, share)
-            weights, bias = train(Sparse(pos, features, telling), Sparse(unl, features, telling), share)
+            pos = presence(_sample(marked.filter("toxic"), n_pos, positives), features)
+            unl = presence(_sample(train_rows, n_all, unlabelled), features)
+            weights, bias = train(Sparse(pos, telling), Sparse(unl, telling), share)
 
     def run(batches):
         for b in batches:
@@ -161,13 +176,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, pri
             for lo, hi in text_groups(texts):
                 f = np.full(hi - lo, bias)
                 if len(features):
-                    h, off = hash_words(texts[lo:hi], normalised=True)
-                    at = np.minimum(np.searchsorted(features, h), len(features) - 1)
-                    hit = np.flatnonzero(features[at] == h)
-                    text = np.searchsorted(off, hit, "right") - 1
-                    own = at[hit]
-                    pairs = np.unique(text * len(features) + own)
-                    f += np.bincount(pairs // len(features), weights[pairs % len(features)], hi - lo)
+                    text, own = feature_hits(texts[lo:hi], features)
+                    f += np.bincount(text, weights[own], hi - lo)
                     f[np.unique(text[telling[own]])] += weights[-1]
                 out.append(_sigmoid(f))
             s = np.concatenate(out) if out else np.zeros(0)

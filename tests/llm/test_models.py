@@ -123,6 +123,82 @@ def test_risk_is_bounded_below():
     assert toxicity.nn_risk(f, np.array([-5.0, -6.0]), 0.5)[1] < 0
 
 
+def test_gradient_is_that_of_the_risk():
+    """Against differences of the risk, on both sides of the bound."""
+    rng = np.random.default_rng(2)
+    telling = np.array([True, False, False, False])
+    for prior, sign in ((0.2, 1), (0.5, -1)):
+        pos, unl = (toxicity.Sparse(rng.random((n, 4)) < dense, telling) for n, dense in ((7, 0.4 if sign > 0 else 0.9), (11, 0.4 if sign > 0 else 0.05)))
+        theta = rng.normal(size=6) * 0.1 + (0 if sign > 0 else np.array([3.0] * 5 + [-4.0]))
+
+        def risk(t):
+            a, b = toxicity.nn_risk(pos.dot(t[:5]) + t[5], unl.dot(t[:5]) + t[5], prior)
+            assert (b >= 0) == (sign > 0)
+            return a + b if b >= 0 else -b
+
+        got = toxicity.risk_gradient(pos, unl, theta, prior)
+        for k in range(6):
+            d = np.zeros(6)
+            d[k] = 1e-6
+            assert got[k] == pytest.approx((risk(theta + d) - risk(theta - d)) / 2e-6, abs=1e-6)
+
+
+def brute_features(texts, toxic, prior):
+    """Features and telling ones from the counts of all training texts; and each text's features."""
+    sets = [set(words(t)) for t in texts]
+    n_pos, n_all = Counter(), Counter()
+    for s, y in zip(sets, toxic, strict=True):
+        n_all.update(s)
+        if y:
+            n_pos.update(s)
+    a, b, out = sum(toxic), len(texts), {}
+    for w, c in n_pos.items():
+        p, u, both = c / a, n_all[w] / b, (c + n_all[w]) / (a + b)
+        if c >= toxicity.LEAST_TEXTS and (p - u) / math.sqrt(both * (1 - both) * (1 / a + 1 / b) + 1e-12) >= toxicity.LEAST_Z:
+            out[w] = prior * p >= toxicity.TELLING * u
+    return out
+
+
+def words(t):
+    return (t or "").lower().translate(str.maketrans("", "", "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()))).split()
+
+
+def test_toxicity_query_equals_brute_force(spark):
+    """Features from all training texts, weights from dense numpy, and the score of every document."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    known = [y for i, y in labels.items() if y is not None and not held(i)]
+    prior = min(max(sum(known) / len(known), 1e-3), 0.5)
+    ids = [i for i in docs if not held(i)]
+    toxic = [labels.get(i) == 1 for i in ids]
+    features = brute_features([docs[i] for i in ids], toxic, prior)
+    names = sorted(features, key=lambda w: hash_words([w])[0][0])
+    telling = np.array([features[w] for w in names])
+
+    def matrix(rows):
+        x = np.array([[w in s for w in names] for s in (set(words(docs[i])) for i in rows)], float).reshape(len(rows), -1)
+        return np.column_stack([x, (x[:, telling] > 0).any(axis=1), np.ones(len(rows))])
+
+    pos, unl = matrix([i for i, y in zip(ids, toxic, strict=True) if y]), matrix(ids)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    n = len(names) + 1
+    theta, m, v = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1)
+    theta[n] = np.log(prior / (1 - prior))
+    for t in range(1, 1501):
+        f_p, f_u = pos @ theta, unl @ theta
+        down = unl.T @ sig(f_u) / len(unl) - prior * pos.T @ sig(f_p) / len(pos)
+        rest = np.logaddexp(0, f_u).mean() - prior * np.logaddexp(0, f_p).mean()
+        grad = down - prior * pos.T @ sig(-f_p) / len(pos) if rest >= 0 else -down
+        grad[:n] += 1e-4 * theta[:n]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        theta = theta - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    want = dict(zip(docs, sig(matrix(list(docs)) @ theta), strict=True))
+    got = {r["doc_id"]: r["score"] for r in op9_toxicity(spark, sf).collect()}
+    assert len(names) >= 3 and np.allclose([got[i] for i in docs], [want[i] for i in docs], atol=2e-3)
+
+
 def test_toxicity_learns_from_positives_alone(spark):
     rng = np.random.default_rng(0)
     word = lambda: f"w{rng.integers(500)}"
