@@ -2,11 +2,14 @@
 
 The pieces are a fixed public vocabulary. For each language there is a probability for each piece; a word's probability is the
 sum, over all its segmentations into pieces, of the product of their probabilities. A forward pass computes it for many
-words at once; expectation-maximisation with a backward pass fits the probabilities. A text's score is the sum over all
+words at once; expectation-maximisation with a backward pass fits the probabilities. Words of more than SHORT characters, as in
+scripts without spaces, go through the same passes one by one: forward with a rescaled window of the last positions that a piece
+can reach back to, so that memory does not grow with the word. No word is cut. A text's score is the sum over all
 its words. Word scores are remembered in each worker, bounded by WORDS_KEPT, so that scoring costs a lookup for most words.
 
 The model is fitted on at most about `per_language` training documents for each language, chosen by a hash of the id;
-every document is scored whole. The driver sees only piece counts (pieces x languages).
+every document is scored whole. The driver sees only piece counts (pieces x languages), and sends as many probabilities to each
+task; more than LANGUAGES languages are an error.
 """
 
 from __future__ import annotations
@@ -22,8 +25,10 @@ from pyspark.sql import functions as F
 from .common import crc_mod, discard, materialize, sampled, text_groups
 
 WORDS_KEPT = 400_000
-#: Longer words are scored in pieces of this length.
-WORD_CHARS = 32
+#: Characters up to which words are scored many at once, without rescaling: the least product is above 1e-300.
+SHORT = 32
+#: Most languages of a model, so that its size is bounded.
+LANGUAGES = 256
 PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 UNKNOWN = 1e-9
 
@@ -48,6 +53,20 @@ class Lattice:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.size = len(pieces)
         self.starts = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.reach = max(map(len, pieces), default=1)
+
+    def places(self, word: str, i: int) -> list[tuple[int, int]]:
+        """Ends and numbers of the pieces that start at position i; a character that is no piece is an unknown one."""
+        out, single = [], False
+        for j in range(i + 1, min(len(word), i + self.reach) + 1):
+            part = word[i:j]
+            if part not in self.starts:
+                break
+            x = self.number.get(part)
+            if x is not None:
+                out.append((j, x))
+                single = single or j == i + 1
+        return out if single else [*out, (i + 1, self.size)]
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Arrays word, start, end, piece of all edges, sorted by end; and the words' lengths."""
@@ -78,15 +97,46 @@ class Lattice:
         return w[order], a[order], b[order], p[order], np.array([len(x) for x in words], np.int64)
 
 
-def cut_words(words: list[bytes]) -> tuple[list[str], np.ndarray]:
-    """Marked words cut to WORD_CHARS, and the number of the word that each part is of."""
-    parts, owner = [], []
-    for k, w in enumerate(words):
-        s = "▁" + w.decode("utf-8", "replace")
-        for i in range(0, len(s), WORD_CHARS):
-            parts.append(s[i : i + WORD_CHARS])
-            owner.append(k)
-    return parts, np.array(owner, np.int64)
+def marked(words: list[bytes]) -> list[str]:
+    return ["▁" + w.decode("utf-8", "replace") for w in words]
+
+
+def long_log(lattice: Lattice, word: str, table: np.ndarray) -> np.ndarray:
+    """For each language the log of the sum over all segmentations of a word of any length.
+
+    Only the sums of the positions that pieces reach from here on are kept, scaled to a maximum of one.
+    """
+    size = lattice.reach + 1
+    ring, log = np.zeros((size, table.shape[1])), np.zeros(table.shape[1])
+    ring[0] = 1
+    for i in range(len(word)):
+        top = ring.max(axis=0)
+        ring /= top
+        log += np.log(top)
+        here = ring[i % size].copy()
+        ring[i % size] = 0
+        for j, x in lattice.places(word, i):
+            ring[j % size] += here * table[x]
+    return log + np.log(ring[len(word) % size])
+
+
+def long_expected(lattice: Lattice, word: str, prob: np.ndarray) -> dict[int, float]:
+    """Expected uses of each piece in one long word, by sums of logs in both directions. prob: of each piece in its language."""
+    n, log = len(word), np.log(np.maximum(prob, 1e-300))
+    edges = [lattice.places(word, i) for i in range(n)]
+    before, after = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    before[0] = after[n] = 0
+    for i, own in enumerate(edges):
+        for j, x in own:
+            before[j] = np.logaddexp(before[j], before[i] + log[x])
+    for i in range(n - 1, -1, -1):
+        for j, x in edges[i]:
+            after[i] = np.logaddexp(after[i], after[j] + log[x])
+    out: dict[int, float] = {}
+    for i, own in enumerate(edges):
+        for j, x in own:
+            out[x] = out.get(x, 0.0) + float(np.exp(before[i] + log[x] + after[j] - before[n]))
+    return out
 
 
 def forward(edges, prob: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -117,10 +167,15 @@ def backward(edges, prob: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def expected_pieces(lattice: Lattice, words: list[bytes], langs: np.ndarray, counts: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Expected uses of each piece by each language in the words, under the table (pieces + 1, languages)."""
     out = np.zeros_like(table)
-    for k in range(0, len(words), 20_000):
-        parts, owner = cut_words(words[k : k + 20_000])
-        w, a, b, p, lengths = lattice.edges(parts)
-        lang, n = langs[k : k + 20_000][owner], counts[k : k + 20_000][owner]
+    texts = marked(words)
+    short = [k for k, x in enumerate(texts) if len(x) <= SHORT]
+    for k in set(range(len(texts))).difference(short):
+        for x, uses in long_expected(lattice, texts[k], table[:, langs[k]]).items():
+            out[x, langs[k]] += uses * counts[k]
+    for at in range(0, len(short), 20_000):
+        own = np.array(short[at : at + 20_000], np.int64)
+        w, a, b, p, lengths = lattice.edges([texts[k] for k in own])
+        lang, n = langs[own], counts[own]
         prob = table[p, lang[w]]
         alpha, beta = forward((w, a, b, p), prob, lengths), backward((w, a, b, p), prob, lengths)
         total = alpha[np.arange(len(lengths)), lengths]
@@ -155,14 +210,16 @@ class Scorer:
         at = len(self.rows)
         while at + len(new) > len(self.logs):
             self.logs = np.concatenate([self.logs, np.zeros_like(self.logs)])
-        for k in range(0, len(new), 20_000):
-            own = new[k : k + 20_000]
-            parts, owner = cut_words(own)
-            w, a, b, p, lengths = self.lattice.edges(parts)
+        texts = marked(new)
+        short = [k for k, x in enumerate(texts) if len(x) <= SHORT]
+        for k in set(range(len(texts))).difference(short):
+            self.logs[at + k] = long_log(self.lattice, texts[k], self.table)
+        for k in range(0, len(short), 20_000):
+            own = np.array(short[k : k + 20_000], np.int64)
+            w, a, b, p, lengths = self.lattice.edges([texts[i] for i in own])
             for lang in range(self.table.shape[1]):
                 alpha = forward((w, a, b, p), self.table[p, lang], lengths)
-                logs = np.log(np.maximum(alpha[np.arange(len(lengths)), lengths], 1e-300))
-                self.logs[at + k : at + k + len(own), lang] = np.bincount(owner, logs, len(own))
+                self.logs[at + own, lang] = np.log(np.maximum(alpha[np.arange(len(lengths)), lengths], 1e-300))
         self.rows.update((x, at + i) for i, x in enumerate(new))
 
 
@@ -183,6 +240,8 @@ def training_words(docs: DataFrame, per_language: int) -> tuple[DataFrame, list[
     use = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in use.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"{len(langs)} languages to learn, more than {LANGUAGES}")
     share = F.lit(0.0)
     for x in langs:
         share = F.when(F.col("lang") == x, F.lit(per_language / sizes[x])).otherwise(share)

@@ -48,6 +48,75 @@ def test_expected_pieces_cover_each_word():
     assert (got[:, 0] * size).sum() == pytest.approx(6 + 2 * 6 + 3 * 71)
 
 
+def log_brute(word, number, logs, unknown):
+    """Log of the sum over all segmentations, over whole prefixes."""
+    best = [0.0]
+    for j in range(1, len(word) + 1):
+        parts = [best[i] + logs[number[word[i:j]]] for i in range(j) if word[i:j] in number]
+        if word[j - 1 : j] not in number:
+            parts.append(best[j - 1] + unknown)
+        best.append(float(np.logaddexp.reduce(parts)))
+    return best[-1]
+
+
+def test_long_words_are_scored_whole():
+    """Words around and far beyond SHORT: one sum over all segmentations, whatever path computes it."""
+    pieces = langid.load_pieces(VOCAB)
+    rng = np.random.default_rng(3)
+    table = rng.dirichlet(np.full(len(pieces), 0.3), 2).T + 1e-12
+    table = np.concatenate([table, np.full((1, 2), langid.UNKNOWN)])
+    lattice = langid.Lattice(pieces)
+    compound = "donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft"
+    words = [w.encode() for w in (compound[:30], compound[:31], compound[:32], compound, compound * 30, "中文没有空格" * 40, "x" * 3000)]
+    scorer = langid.Scorer(pieces, table)
+    got = [scorer.score([w.decode()])[0] for w in words]
+    for w, g in zip(words, got, strict=True):
+        for lang in range(2):
+            assert g[lang] == pytest.approx(log_brute("▁" + w.decode(), lattice.number, np.log(table[:, lang]), math.log(langid.UNKNOWN)), rel=1e-9)
+        assert langid.long_log(lattice, "▁" + w.decode(), table) == pytest.approx(g, rel=1e-9)
+    uses = langid.expected_pieces(lattice, words, np.array([0, 1, 0, 1, 0, 1, 0]), np.ones(7), table)
+    size = np.array([len(x) for x in pieces] + [1])
+    assert (uses.sum(axis=1) * size).sum() == pytest.approx(sum(len(w.decode()) + 1 for w in words))
+    short = words[0]
+    one = langid.expected_pieces(lattice, [short], np.array([0]), np.ones(1), table)[:, 0]
+    for x, n in langid.long_expected(lattice, "▁" + short.decode(), table[:, 0]).items():
+        assert one[x] == pytest.approx(n, abs=1e-9)
+
+
+def test_language_query_equals_brute_force(spark, sf):
+    """Expectation-maximisation over the training words and every document's posterior, without the operator's passes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    pieces = langid.load_pieces(VOCAB)
+    lattice, size = langid.Lattice(pieces), len(pieces)
+    learn = [r for r in docs if zlib.crc32(str(r["doc_id"]).encode()) % 5 and r["lang"] and r["text"] is not None]
+    langs = sorted({r["lang"] for r in learn})
+    counts = Counter((r["lang"], w) for r in learn for w in langid.words_of(r["text"]))
+    table = np.full((size + 1, len(langs)), 1 / size)
+    table[size] = langid.UNKNOWN
+    for _ in range(3):
+        new = np.full((size, len(langs)), 0.05)
+        for (lang, w), n in counts.items():
+            k = langs.index(lang)
+            for x, uses in langid.long_expected(lattice, "▁" + w.decode("utf-8", "replace"), table[:, k]).items():
+                if x < size:
+                    new[x, k] += n * uses
+        table = np.concatenate([new / new.sum(axis=0), np.full((1, len(langs)), langid.UNKNOWN)])
+    logs, known = np.log(table), {}
+    got = {r["doc_id"]: r for r in op3_language(spark, sf).collect()}
+    for r in docs:
+        if r["text"] is None or not any(c.isalpha() for c in r["text"]):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        total = np.zeros(len(langs))
+        for w in langid.words_of(r["text"]):
+            if w not in known:
+                known[w] = np.array([log_brute("▁" + w.decode("utf-8", "replace"), lattice.number, logs[:, k], math.log(langid.UNKNOWN)) for k in range(len(langs))])
+            total += known[w]
+        best = int(total.argmax())
+        assert got[r["doc_id"]]["lang_pred"] == langs[best]
+        assert got[r["doc_id"]]["score"] == pytest.approx(1 / np.exp(total - total[best]).sum(), abs=1e-6)
+
+
 def test_language_query(spark, sf):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = op3_language(spark, sf).collect()
