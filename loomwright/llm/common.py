@@ -80,6 +80,20 @@ def checked(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+#: A key with a larger share of all rows than one in so many is hot: there are at most as many of those.
+HOT = 1_000
+
+
+def hot_join(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined with their one lookup row by keys; every row must have one. weight: how many of the `total` rows a key has.
+
+    Hot keys' lookup rows, at most HOT, are broadcast, so a key never meets in one task; only the other rows are shuffled.
+    """
+    hot = F.broadcast(lookup.filter(F.col(weight) * HOT > total).drop(weight))
+    rest = lookup.filter(F.col(weight) * HOT <= total).drop(weight)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how: str = "inner") -> DataFrame:
     """Equi-join whose keys may be null (null matches null); the right key columns are dropped."""
     cond = None

@@ -245,9 +245,11 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = N, seeds: int = SEE
     hits = materialize(seed_hits(keyed, chosen), "decontam-hits")
     met = hits.join(checked(chosen), "gram").groupBy("doc_id", "key", "body").agg(F.collect_set(F.struct("p", "q")).alias("hits"), F.count_distinct("q").alias("met"), F.first("own").alias("own"))
     enough = materialize(met.filter(F.col("met") >= F.least(F.lit(least_seeds), "own")), "decontam-met")
-    full = enough.join(checked(bodies), "body").groupBy("doc_id", "key").agg(F.collect_list(F.struct("body", "words", "own", "hits")).alias("candidates"))
-    wanted = checked(materialize(full.select(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key"), "candidates"), "decontam-wanted"))
-    rows = keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key"))).select("doc_id", "key", "text", "candidates")
+    full = enough.join(bodies, "body").groupBy("doc_id", "key").agg(F.collect_list(F.struct("body", "words", "own", "hits")).alias("candidates"))
+    wanted = materialize(full.select(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key"), "candidates"), "decontam-wanted")
+    same = F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("key") == F.col("c_key"))
+    texts = keyed.join(checked(wanted.select("c_id", "c_key")), same, "left_semi")  # two numbers a row; what follows is small
+    rows = texts.join(wanted, same).select("doc_id", "key", "text", "candidates")
     found = materialize(aligned(rows, least_seeds, least_score), "decontam-found")
     return found.join(known.select("body", "item_id"), "body").select("doc_id", "key", "item_id", "score", "seeds", "start_word", "end_word")
 

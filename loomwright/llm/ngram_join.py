@@ -8,7 +8,9 @@
 3. Only the sets of representatives in some bucket are built again and sent to their groups. There all
    pairs that share the band, and no earlier one, are verified at once by a product of incidence matrices. A task returns for
    each member its number of links and one edge of a spanning forest: pairs are never rows.
-4. Connected components by alternating large and small stars, with a written table after each round.
+4. Connected components by alternating large and small stars, with a written table after each round. A node is its class's
+   (first id, fingerprint), so that the least node of a component tells the class id, and no join by component follows. Lookups
+   of hot nodes and hot classes (more than 1 in 1000 rows) are broadcast, those of all others are shuffled.
 
 Band and row counts follow from the target recall at the threshold. The work left in a hot group of n different but
 similar texts is its n * n / 2 verifications, done block by block; that many links are its result.
@@ -20,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, discard, hash_words, materialize, mix64, ngrams, null_safe_join, text_groups
+from .common import checked, discard, hash_words, hot_join, materialize, mix64, ngrams, text_groups
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -184,10 +186,22 @@ def _forest(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
+#: A representative in components: without an id last, then by id, then by the set's fingerprint.
+NODE = "struct<none:boolean,id:bigint,s1:bigint,s2:bigint>"
+
+
+def node(prefix: str = "") -> Column:
+    return F.struct(F.col(f"{prefix}id").isNull().alias("none"), F.col(f"{prefix}id").alias("id"), F.col(f"{prefix}s1").alias("s1"), F.col(f"{prefix}s2").alias("s2"))
+
+
+FOUND = "id long, s1 long, s2 long, links long, root_id long, root_s1 long, root_s2 long"
+
+
 def verify(groups: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """(rid, links, root): for each representative with links in a group, how many documents it is linked to there, and an edge."""
-    rows = groups.join(sets.join(classes.select("rid", "n", "bands"), "rid"), "rid")
-    dealt = rows.select("group", "side", "band", "rid", "n", "bands", "shingles").repartition("group").sortWithinPartitions("group", "rid", "side")
+    """(id, s1, s2, links, root_*): for each representative with links in a group, how many documents it is linked to there, and an edge."""
+    rows = groups.join(sets.join(classes.select("rid", "n", "bands", "first_id", "s1", "s2"), "rid"), "rid")
+    names = ["group", "side", "band", "rid", "n", "bands", "shingles", "first_id", "s1", "s2"]
+    dealt = rows.select(*names).repartition("group").sortWithinPartitions("group", "rid", "side")
 
     def compare(own: list[tuple]) -> Iterator[tuple]:
         index: dict[int, int] = {}
@@ -218,12 +232,15 @@ def verify(groups: DataFrame, sets: DataFrame, classes: DataFrame, threshold: fl
         copies = np.array([kept[i][4] for i in use], np.int64)
         count, label = near @ copies, _forest(near)
         for k in np.flatnonzero(near.any(axis=1)):
-            yield kept[use[k]][3], int(count[k]), kept[use[label[k]]][3]
+            yield *kept[use[k]][7:10], int(count[k]), *kept[use[label[k]]][7:10]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
 
     def run(batches):
         group, own, out = None, [], []
         for b in batches:
-            cols = [b.column(c) for c in ("group", "side", "band", "rid", "n", "bands", "shingles")]
+            cols = [b.column(c) for c in names]
             for k in range(b.num_rows):
                 r = tuple(c[k].as_py() for c in cols)
                 if r[0] != group:
@@ -231,13 +248,13 @@ def verify(groups: DataFrame, sets: DataFrame, classes: DataFrame, threshold: fl
                     group, own = r[0], []
                 own.append(r)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rid", "links", "root"])
+                yield batch(out)
                 out = []
         out.extend(compare(own))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rid", "links", "root"])
+            yield batch(out)
 
-    return dealt.mapInArrow(run, "rid long, links long, root long")
+    return dealt.mapInArrow(run, FOUND)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,15 +264,15 @@ def components(edges: DataFrame) -> DataFrame:
     The edges of a fixed point are (node, root). All steps are partial aggregations and equi-joins.
     """
 
-    def stars(e: DataFrame, large: bool) -> DataFrame:
+    def stars(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        joined = both.join(least, "u")
+        least = materialize(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("c")), "join-least")
+        joined = hot_join(both, least, ["u"], "c", 2 * n if large else n)
         if large:
             out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.filter(F.col("u") > F.col("v")).distinct()
+        return materialize(out.filter(F.col("u") > F.col("v")).distinct(), "join-edges")
 
     def mark(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -263,9 +280,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges = materialize(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") > F.col("v")).distinct(), "join-edges")
     last = mark(edges)
-    while True:
-        new = materialize(stars(stars(edges, True), False), "join-edges")
+    while last[0]:
+        half = stars(edges, True, last[0])
+        new = stars(half, False, half.count())
         discard(edges)
+        discard(half)
         edges, now = new, mark(new)
         if now == last:
             break
@@ -275,7 +294,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _classified(docs: DataFrame, threshold: float, n: int, recall: float, block: int) -> DataFrame:
-    """One row per document: doc_id, key, size, root (of its component; null without words), class_id, n_links, n_copies."""
+    """One row per document: doc_id, key, s1, s2, size, root (the least node of its component; null without words), class_id, n_links, n_copies."""
     bands, rows = bands_and_rows(threshold, recall)
     signed = materialize(signatures(docs, n, bands, rows), "join-signed")
     grouped = signed.filter(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -286,22 +305,19 @@ def _classified(docs: DataFrame, threshold: float, n: int, recall: float, block:
     found = materialize(verify(groups, sets, classes, threshold), "join-found")
     discard(sets)
     discard(groups)
-    links = found.groupBy("rid").agg(F.sum("links").alias("links"))
-    tree = components(found.select(F.col("rid").alias("u"), F.col("root").alias("v")))
-    named = tree.join(classes.select(F.col("rid").alias("node"), "first_id"), "node")
-    least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    joined = classes.select("rid", "s1", "s2", "n", "first_id").join(links, "rid", "left").join(named.select(F.col("node").alias("rid"), "root").join(least, "root"), "rid", "left")
-    alone = F.col("root").isNull()
-    lookup = materialize(
-        joined.select("s1", "s2", F.coalesce("root", "rid").alias("root"), F.when(alone, F.col("first_id")).otherwise(F.col("class_id")).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n").alias("n_copies")),
-        "join-lookup",
-    )
-    full = signed.select("doc_id", "key", "s1", "s2", "size").join(lookup, ["s1", "s2"], "left")
+    links = found.groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+    tree = components(found.select(node().alias("u"), node("root_").alias("v"))).select("node.s1", "node.s2", "root")
+    joined = classes.select("s1", "s2", "n", "first_id").join(links, ["s1", "s2"], "left").join(tree, ["s1", "s2"], "left")
+    own = F.struct(F.col("first_id").isNull().alias("none"), F.col("first_id").alias("id"), "s1", "s2")
+    lookup = materialize(joined.select("s1", "s2", F.coalesce("root", own).alias("root"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("n").alias("n_copies"), F.col("n").alias("rows")), "join-lookup")
+    named = signed.select("doc_id", "key", "s1", "s2", "size")
+    empty = named.filter(F.col("s1").isNull()).select("*", F.lit(None).cast(NODE).alias("root"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    full = hot_join(named.filter(F.col("s1").isNotNull()), lookup, ["s1", "s2"], "rows", signed.count()).unionByName(empty)
     none = F.col("root").isNull()
     return full.select(
-        "doc_id", "key", "size", "root",
-        F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        "doc_id", "key", "s1", "s2", "size", "root",
+        F.when(none, F.col("doc_id")).otherwise(F.col("root.id")).alias("class_id"),
+        F.col("n_links").cast("long").alias("n_links"), F.col("n_copies").cast("long").alias("n_copies"),
     )
 
 
@@ -319,22 +335,27 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
 
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE_WORDS, recall: float = 0.9999, block: int = 768) -> DataFrame:
-    """One document of each component, with all its columns: that of the least doc_id (null last), then of the least text hash.
+    """One document of each component, with all its columns: that of the least doc_id (null last), then of the least set and text hash.
 
     Documents are told apart by id and text, so an id that comes twice with different texts is two documents. Rows that
-    repeat both stay once. Documents without words all stay.
+    repeat both stay once. Documents that are null or without words all stay; an empty table stays empty; all columns are
+    kept, whatever their names.
     """
-    rows = materialize(_classified(docs, threshold, n, recall, block).filter(F.col("root").isNotNull()).select("root", "doc_id", "key"), "join-rooted")
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("k"))).alias("b"))
-    first = F.col("doc_id").eqNullSafe(F.col("b.id")) & (F.col("key") == F.col("b.k"))
-    named = [F.col("doc_id").alias("__id"), F.col("key").alias("__k")]
-    drop = materialize(rows.join(best, "root").filter(~first).select(*named).distinct(), "join-drop")
-    twice = materialize(rows.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > 1).select(*named), "join-twice")
-    on = [("doc_id", "__id"), ("__key", "__k")]
+    rows = materialize(_classified(docs, threshold, n, recall, block).filter(F.col("root").isNotNull()).select("doc_id", "key", "s1", "s2", "root"), "join-rooted")
+    first = F.col("doc_id").eqNullSafe(F.col("root.id")) & (F.col("s1") == F.col("root.s1")) & (F.col("s2") == F.col("root.s2"))
+    best = materialize(rows.filter(first).groupBy("doc_id", "s1", "s2").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("c")), "join-best")
+    # all rows of a first document but those of its least text, then the documents that come more than once
+    several = best.filter(F.col("c") > 1).select(F.col("doc_id").alias("b_id"), F.col("s1").alias("b_s1"), F.col("s2").alias("b_s2"), F.col("key").alias("b_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("s1") == F.col("b_s1")) & (F.col("s2") == F.col("b_s2")) & (F.col("key") != F.col("b_key"))
+    named = [F.col("doc_id").alias("d_id"), F.col("key").alias("d_key")]
+    drop = materialize(rows.filter(~first).select(*named).unionByName(rows.filter(first).join(several, same, "left_semi").select(*named)).distinct(), "join-drop")
+    twice = materialize(several.select(F.col("b_id").alias("d_id"), F.col("b_key").alias("d_key")), "join-twice")
     drop, twice = checked(drop), checked(twice)
-    kept = null_safe_join(docs.withColumn("__key", F.xxhash64("text")), drop, on, "left_anti")
-    once = null_safe_join(kept, twice, on, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return null_safe_join(kept, twice, on, "left_anti").unionByName(once).drop("__key")
+    whole = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
+    at = F.col("row.doc_id").cast("long").eqNullSafe(F.col("d_id")) & (F.xxhash64("row.text") == F.col("d_key"))
+    kept = whole.join(drop, at, "left_anti")
+    once = kept.join(twice, at).groupBy("d_id", "d_key").agg(F.first("row").alias("row")).select("row")
+    return kept.join(twice, at, "left_anti").unionByName(once).select("row.*")
 
 
 #: The same by comparing all texts that share an n-gram; feasible where no n-gram is in very many texts.

@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwright.llm import ngram_join as nj
 from loomwright.llm.queries import op1_ngram_join
@@ -118,3 +119,24 @@ def test_query_equals_sql(spark):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
     want = con.sql(oracle_sql()["op1_ngram_join"])
     assert sorted(map(tuple, op1_ngram_join(spark, sf).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_hot_keys_join_as_others(spark):
+    """A star with most of all edges and a set with most of all rows, beside many small ones."""
+    from loomwright.llm.common import hot_join
+
+    rows = spark.createDataFrame([(0, k) for k in range(900)] + [(1 + k % 50, k) for k in range(100)], "u long, v long")
+    look = rows.groupBy("u").agg(F.count(F.lit(1)).alias("c"), (F.first("u") * 2).alias("m"))
+    got = hot_join(rows, look, ["u"], "c", 1000)
+    assert got.columns == ["u", "v", "m"] and got.count() == 1000 and got.filter("m != 2 * u").count() == 0
+
+
+def test_columns_of_any_name(spark):
+    names = ["key", "row", "root", "d_id", "d_key", "s1", "s2", "b_id", "size", "__key", "n"]
+    texts = ["one two three four five six seven"] * 3 + [None, None, "other words that stand alone here"]
+    rows = [(i, t, *names) for i, t in zip([1, 1, 2, 3, None, None], texts, strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = nj.keep_first(df)
+    assert out.columns == df.columns
+    assert sorted((str(r["doc_id"]), (r["text"] or "-")[:5]) for r in out.collect()) == [("1", "one t"), ("3", "-"), ("None", "-"), ("None", "other")]
+    assert all([r[n] for n in names] == names for r in out.collect())
