@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .pairing import dense_position, keyed_draw, keyed_order
+from .pairing import dense_position, keyed_draw, keyed_order, prefix_sums
 
 
 def sorted_limit(df: DataFrame, order: list[Column | str], limit: int | None) -> DataFrame:
@@ -56,14 +56,27 @@ def every(total: str, n: int) -> Column:
 
 
 def running_totals(df: DataFrame, order: list[str], size: str, partition: list[str] | None = None) -> DataFrame:
-    """Adds total_iters over all rows before and with this one, and epoch_iter within each partition (the epoch)."""
-    by = Window.partitionBy(*(partition or [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    epoch = df.withColumn("epoch_iter", F.sum(size).over(by))
+    """Adds total_iters over all rows before and with this one, and epoch_iter within each partition (the epoch).
+
+    Epochs follow each other in the order of their columns. Totals are two-level prefix sums: no epoch meets in one task.
+    """
+    rows = prefix_sums(df, [*(partition or []), *order], size, "total_iters")
     if not partition:
-        return epoch.withColumn("total_iters", F.col("epoch_iter"))
+        return rows.withColumn("epoch_iter", F.col("total_iters"))
     sums = df.groupBy(*partition).agg(F.sum(size).alias("__n"))
     before = F.coalesce(F.sum("__n").over(Window.orderBy(*partition).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return epoch.join(sums.select(*partition, before.alias("__before")), partition).withColumn("total_iters", F.col("__before") + F.col("epoch_iter")).drop("__before")
+    return rows.join(sums.select(*partition, before.alias("__before")), partition).withColumn("epoch_iter", F.col("total_iters") - F.col("__before")).drop("__before")
+
+
+def flip_batches(df: DataFrame, index: str, batch_size: int, seed: int, training: bool = True) -> DataFrame:
+    """Adds flipped: in training, a batch is flipped as a whole, with even chances by a keyed draw."""
+    batch = F.floor(F.col(index) / batch_size).cast("long")
+    return df.withColumn("flipped", (keyed_draw(F.lit(seed), F.lit("flip"), batch) < F.lit(2**31)) & F.lit(training))
+
+
+def flip_rows(feature: Column, flipped: Column) -> Column:
+    """A row of places, reversed where its batch is flipped: before encoding, and again on the features to undo it."""
+    return F.when(flipped, F.reverse(feature)).otherwise(feature)
 
 
 def panes(index: Column, per_window: int) -> tuple[Column, Column]:

@@ -19,7 +19,8 @@ def patch_nce(q: DataFrame, k: DataFrame, group: list[str], patch: str = "patch_
 
     q and k: group columns, patch, feat. The positive is the key of the same patch; the negatives are all keys of the group,
     the own one masked. The loss is the cross-entropy of the positive among all of them, by log-sum-exp relative to
-    the greatest. Group by image for internal negatives, by batch for negatives of the whole minibatch.
+    the greatest. Group by image for internal negatives, by batch for negatives of the whole minibatch. A query without its own
+    key has no positive and is left out.
     """
     keys = k.select(*group, F.col(patch).alias("__k"), F.col("feat").alias("__feat"))
     pairs = q.select(*group, patch, "feat").join(keys, group)
@@ -32,7 +33,7 @@ def patch_nce(q: DataFrame, k: DataFrame, group: list[str], patch: str = "patch_
     top = F.greatest(F.max("__l").over(w), F.max("__p").over(w))
     scaled = rows.select("*", top.alias("__m"))
     total = scaled.groupBy(*group, patch).agg(F.sum(F.exp(F.col("__l") - F.col("__m"))).alias("__sum"), F.max("__p").alias("__pos"), F.max("__m").alias("__m"))
-    return total.select(*group, patch, (F.col("__m") + F.log(F.col("__sum") + F.exp(F.col("__pos") - F.col("__m"))) - F.col("__pos")).alias("loss"))
+    return total.filter(F.col("__pos").isNotNull()).select(*group, patch, (F.col("__m") + F.log(F.col("__sum") + F.exp(F.col("__pos") - F.col("__m"))) - F.col("__pos")).alias("loss"))
 
 
 def multi_layer(losses: DataFrame, layer: str, weight: float) -> DataFrame:

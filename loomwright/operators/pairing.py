@@ -28,6 +28,19 @@ def dense_position(df: DataFrame, order: Sequence[Column | str], name: str = "po
     return sorted_rows.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
 
 
+def prefix_sums(df: DataFrame, order: Sequence[Column | str], value: str, name: str = "upto") -> DataFrame:
+    """Adds the sum of value over all rows up to this one in the given order, which should be total.
+
+    As dense_position: each sorted partition sums its rows, and a window over one row per partition gives the offsets.
+    """
+    sorted_rows = durable(df.orderBy(*order)).withColumn("__part", F.spark_partition_id()).withColumn("__row", F.monotonically_increasing_id())
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy("__row").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = sorted_rows.groupBy("__part").agg(F.sum(value).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    return sorted_rows.withColumn("__own", own).join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__row", "__own", "__before")
+
+
 def keyed_draw(*parts: Column | str) -> Column:
     """A reproducible draw in [0, 2^32) from the parts: the first 8 hex digits of their md5."""
     text = F.concat_ws(":", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts))
@@ -71,10 +84,18 @@ def zip_join(a: DataFrame, b: DataFrame, position: str = "pos", strict: bool = T
     return a.join(b, position)
 
 
+def name_orphans(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, side): keys that only one side has; side is a or b. Null keys match nothing."""
+    left, right = a.select(key).distinct(), b.select(key).distinct()
+    one = left.join(right, key, "left_anti").withColumn("side", F.lit("a"))
+    return one.unionByName(right.join(left, key, "left_anti").withColumn("side", F.lit("b")))
+
+
 def check_name_match(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Inner join by a natural key; a key without a partner raises when read."""
-    both = a.join(b.withColumn("__b", F.lit(True)), key, "full").withColumn("__a", F.lit(True))
-    return both.filter(F.coalesce(F.col("__b"), F.raise_error(F.concat(F.lit("no partner for "), F.col(key).cast("string"))).cast("boolean"))).drop("__a", "__b")
+    """Inner join by a natural key; a key without a partner, on either side, raises when read."""
+    both = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), key, "full")
+    missing = F.raise_error(F.concat(F.lit("no partner for "), F.coalesce(F.col(key).cast("string"), F.lit("a null key")))).cast("boolean")
+    return both.filter(F.coalesce(F.col("__a") & F.col("__b"), missing)).drop("__a", "__b")
 
 
 def both_exist(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

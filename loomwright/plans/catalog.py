@@ -31,6 +31,9 @@ def r6(c) -> F.Column:
     return F.round(c, 6)
 
 
+_DRAWN = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT)"
+
+
 # -------------------------------------------------------------------- contrastive loss
 
 #: Patches of an image in the queries below.
@@ -222,6 +225,56 @@ def avg_pool_bins(spark, sf_dir):
     return norms.adaptive_bins(v, "dim", F.col("n"), 4).groupBy("vec_id", "bin").agg(r6(F.avg(F.col("x").cast("double"))).alias("pooled"))
 
 
+@query(f"WITH {_ELEMENTS}, m AS (SELECT label, dim, max(x) AS p FROM e GROUP BY label, dim), n AS (SELECT label, sqrt(sum(p * p)) + 1e-7 AS n FROM m GROUP BY label) SELECT m.label, m.dim, round(p / n, 6) AS pooled FROM m JOIN n USING (label)")
+def global_max_pool_l2(spark, sf_dir):
+    """Greatest value of each channel of an image, then L2 over its channels."""
+    pooled = norms.global_max_pool(elements(spark, sf_dir), ["label", "dim"], "x")
+    return norms.normalise_channels(pooled, ["label"], "pooled").select("label", "dim", r6("normed").alias("pooled"))
+
+
+@query(f"WITH {_ELEMENTS}, g AS (SELECT vec_id // 4 AS image, vec_id % 4 AS channel, dim // 8 AS y, dim % 8 AS x0, x FROM e), a AS (SELECT unnest(range(3)) AS bin_y), b AS (SELECT unnest(range(3)) AS bin_x), p AS (SELECT image, channel, bin_y, bin_x, avg(x) AS p FROM g, a, b WHERE y >= floor(bin_y * 8 / 3.0) AND y < ceil((bin_y + 1) * 8 / 3.0) AND x0 >= floor(bin_x * 8 / 3.0) AND x0 < ceil((bin_x + 1) * 8 / 3.0) GROUP BY ALL), n AS (SELECT image, bin_y, bin_x, sqrt(sum(p * p)) + 1e-7 AS n FROM p GROUP BY ALL) SELECT image, channel, CAST(bin_y AS INTEGER) AS bin_y, CAST(bin_x AS INTEGER) AS bin_x, round(p / n, 6) AS pooled FROM p JOIN n USING (image, bin_y, bin_x)")
+def adaptive_pool_l2(spark, sf_dir):
+    """Pictures of 8 x 8 places and 4 channels pooled to 3 x 3, whose bins overlap, then L2 over the channels of each bin."""
+    grid = elements(spark, sf_dir).select(F.expr("vec_id div 4").alias("image"), (F.col("vec_id") % 4).alias("channel"), F.expr("dim div 8").alias("y"), (F.col("dim") % 8).alias("x0"), "x")
+    pooled = norms.pool_2d(grid, ["image", "channel"], "y", "x0", F.lit(8), F.lit(8), "x", 3)
+    return norms.normalise_channels(pooled, ["image", "bin_y", "bin_x"], "pooled").select("image", "channel", "bin_y", "bin_x", r6("normed").alias("pooled"))
+
+
+@query(f"WITH {_ELEMENTS}, d AS (SELECT vec_id // 16 AS slot, dim, sqrt(var_pop(x) + 1e-8) AS d FROM e GROUP BY ALL) SELECT slot, round(avg(d), 6) AS stddev FROM d GROUP BY slot")
+def minibatch_stddev(spark, sf_dir):
+    """Deviation over groups of 16 rows, averaged over their features."""
+    rows = elements(spark, sf_dir).withColumn("slot", F.expr("vec_id div 16"))
+    return norms.minibatch_stddev(rows, ["slot"], ["dim"], "x").select("slot", r6("stddev").alias("stddev"))
+
+
+@query(f"WITH RECURSIVE {_ELEMENTS}, s AS (SELECT vec_id, dim, x FROM e), r AS (SELECT vec_id, dim, x, x AS m FROM s WHERE vec_id = 0 UNION ALL SELECT s.vec_id, s.dim, s.x, r.m * 0.999 + s.x * 0.001 FROM r JOIN s ON s.vec_id = r.vec_id + 1 AND s.dim = r.dim) SELECT vec_id, dim, round(x - m, 6) AS rest FROM r")
+def feature_ema_subtracted(spark, sf_dir):
+    """Features of the steps of training less their moving average, by channel."""
+    return norms.subtract_moving_average(elements(spark, sf_dir), ["dim"], "vec_id", "x").select("vec_id", "dim", r6("rest").alias("rest"))
+
+
+@query(f"WITH {_ELEMENTS}, f AS (SELECT vec_id, dim, x, {_DRAWN.format("'3:flip:' || (vec_id // 16)")} < 2147483648 AS flipped, max(dim) OVER (PARTITION BY vec_id) + 1 AS n FROM e) SELECT vec_id, flipped, round(sum(x * CASE WHEN flipped THEN n - dim ELSE dim + 1 END), 5) AS weighted, round(max(CASE WHEN dim = 0 THEN x * CASE WHEN flipped THEN n ELSE 1 END END), 5) AS first FROM f GROUP BY vec_id, flipped")
+def flip_equivariance(spark, sf_dir):
+    """Batches flipped, encoded by a layer that depends on the place, and their features flipped back."""
+    rows = batching.flip_batches(read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("x")), "vec_id", 16, 3)
+    encoded = F.transform(batching.flip_rows(F.col("x"), F.col("flipped")), lambda v, i: v * (i + 1))
+    back = rows.select("vec_id", "flipped", batching.flip_rows(encoded, F.col("flipped")).alias("f"))
+    return back.select("vec_id", "flipped", F.round(F.aggregate("f", F.lit(0.0), lambda s, v: s + v), 5).alias("weighted"), F.round(F.element_at("f", 1), 5).alias("first"))
+
+
+@query("SELECT i, row_number() OVER (ORDER BY md5('4:0:' || i), i) - 1 AS place FROM (SELECT unnest(range(5000)) AS i)")
+def crop_permutation(spark, sf_dir):
+    """The order in which crops are taken from a domain."""
+    return batching.epoch_shuffle(spark.range(5000).withColumnRenamed("id", "i"), "i", 4, 0)
+
+
+@query("SELECT conv_id, 'a' AS side FROM conversations WHERE role = 'system' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn > 4) GROUP BY conv_id UNION ALL SELECT conv_id, 'b' FROM conversations WHERE turn > 4 AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system') GROUP BY conv_id")
+def name_match_orphans(spark, sf_dir):
+    """Keys without a partner, on either side: what a natural-key match refuses."""
+    c = read(spark, sf_dir, "conversations")
+    return pairing.name_orphans(c.filter(F.col("role") == "system").select("conv_id"), c.filter(F.col("turn") > 4).select("conv_id"), "conv_id")
+
+
 @query(f"WITH {_ELEMENTS} SELECT round(avg(x), 6) AS mean, round(min(x), 6) AS min, round(max(x), 6) AS max, round(quantile_cont(x, 0.5), 6) AS median, round(stddev_pop(x), 6) AS std FROM e")
 def array_stats(spark, sf_dir):
     return norms.array_stats(elements(spark, sf_dir), "x").select(*(r6(c).alias(c) for c in ("mean", "min", "max", "median", "std")))
@@ -243,7 +296,6 @@ def parameter_counts(spark, sf_dir):
     return norms.parameter_counts(params).select("net", r6("millions").alias("millions"))
 
 
-_DRAWN = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT)"
 
 
 @query(

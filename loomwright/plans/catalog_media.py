@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions import networks, pixels
 from loomwright.plans import experiments, options
-from loomwright.plans.session import durable
+from loomwright.plans.session import durable, shared_root
 from loomwright.sources import sinks
 from loomwright.streaming import image_pool
 
@@ -18,8 +18,7 @@ from .catalog import query, read
 
 def _shared(spark, name: str) -> str:
     """A new folder in the shared checkpoint folder."""
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query()

@@ -16,9 +16,19 @@ def local_session(cores: str = "8", name: str = "loomwright", **conf: str) -> Sp
     return spark
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one in local mode; else it raises."""
+    set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
+    if set_by_cluster:
+        return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    return "file:///tmp/checkpoints"
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the checkpoint folder, with its partitions fixed; a local folder where none is set."""
+    """df computed once and kept in the checkpoint folder, with its partitions fixed."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        spark.sparkContext.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)

@@ -74,14 +74,31 @@ def to_rgb(img: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(img[..., 2::-1])
 
 
+#: Paths that are handed to a reader one by one; of more files, the reader gets their folders.
+MOST_PATHS = 10_000
+
+
 def read_images(files: DataFrame, gray: bool = False) -> DataFrame:
-    """(path, height, width, channels, data): RGB pixels of the listed files (column path). An unreadable file raises."""
+    """(path, height, width, channels, data): RGB pixels of the listed files (column path). An unreadable file raises.
+
+    The driver sees at most MOST_PATHS paths; of longer lists it sees the folders, whose scan is joined with the list by path.
+    """
     spark = files.sparkSession
-    paths = [r["path"] for r in files.select("path").distinct().collect()] if files.isStreaming is False else []
-    if not paths:
+    wanted = files.select("path").distinct()
+    is_ppm = F.lower("path").endswith(".ppm")
+
+    def sources(part: DataFrame) -> tuple[list[str], bool]:
+        few = [r["path"] for r in part.limit(MOST_PATHS + 1).collect()]
+        return (few, False) if len(few) <= MOST_PATHS else ([r["d"] for r in part.select(F.regexp_replace("path", "/[^/]*$", "").alias("d")).distinct().collect()], True)
+
+    def listed(scan: DataFrame, folders: bool) -> DataFrame:
+        plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")  # noqa: E731  readers differ in slashes
+        return scan.join(wanted.select(plain("path").alias("wanted")), plain("path") == F.col("wanted"), "left_semi") if folders else scan
+
+    (ppms, ppm_folders), (rest, rest_folders) = sources(wanted.filter(is_ppm)), sources(wanted.filter(~is_ppm))
+    if not ppms and not rest:
         return spark.createDataFrame([], f"path string, {IMAGE}")
-    raw = spark.read.format("binaryFile").load(paths).filter(F.lower("path").endswith(".ppm")).select("path", "content") if any(p.lower().endswith(".ppm") for p in paths) else None
-    rest = [p for p in paths if not p.lower().endswith(".ppm")]
+    raw = listed(spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][pP][mM]").load(ppms).select("path", "content"), ppm_folders) if ppms else None
 
     def rows(keys, images):
         images = [grayscale(x) if gray else x for x in images]
@@ -101,7 +118,7 @@ def read_images(files: DataFrame, gray: bool = False) -> DataFrame:
 
     out = None
     if rest:
-        img = spark.read.format("image").load(rest).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+        img = listed(spark.read.format("image").load(rest).select(F.col("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data"), rest_folders)
         out = img.mapInArrow(native, f"path string, {IMAGE}")
     if raw is not None:
         more = raw.mapInArrow(ppm, f"path string, {IMAGE}")

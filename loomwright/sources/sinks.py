@@ -100,9 +100,9 @@ def _write_text(text: str, path: str) -> str:
 
 
 def append_losses(records: DataFrame, path: str) -> None:
-    """Appends (epoch, iters, compute, data, losses) as formatted lines."""
+    """Appends (epoch, iters, compute, data, losses) as lines of text, in order of epoch and iters within each append."""
     line = loss_line(F.col("epoch"), F.col("iters"), F.col("compute"), F.col("data"), F.col("losses"))
-    records.select("epoch", "iters", line.alias("line")).write.mode("append").json(path)
+    records.orderBy("epoch", "iters").select(line.alias("value")).write.mode("append").text(path)
 
 
 def loss_series(records: DataFrame, names: list[str]) -> DataFrame:

@@ -68,6 +68,10 @@ def test_pairing_rules(spark):
         pairing.zip_join(a, b)
     with pytest.raises(Exception, match="no partner"):
         pairing.check_name_match(a.select("v"), b.select("v"), "v").collect()
+    with pytest.raises(Exception, match="no partner"):
+        pairing.check_name_match(a.filter("v = 'a'").select("v"), a.filter("v < 'c'").select("v", "pos"), "v").collect()
+    assert pairing.check_name_match(a.select("v"), a.select("v", "pos"), "v").count() == 3
+    assert sorted(map(tuple, pairing.name_orphans(a, b, "v").collect())) == [(x, "a") for x in "abc"] + [(x, "b") for x in "vwxyz"]
 
 
 def test_positions_are_dense(spark):
@@ -123,3 +127,56 @@ def test_cycle_and_generator_totals(spark):
     t = spark.createDataFrame([(2.0, 3.0, 5.0)], "gan double, nce double, nce_y double")
     assert losses.generator_total(t, 1.0, 1.0, True).first()["loss"] == 6.0
     assert losses.generator_total(t, 0.0, 1.0, False).first()["loss"] == 3.0
+
+
+def test_feature_average_over_blocks(spark, monkeypatch):
+    """Across blocks the average is carried; against the fold."""
+    monkeypatch.setattr(norms, "EMA_BLOCK", 7)
+    v = [float((k * 37) % 11) for k in range(40)]
+    df = spark.createDataFrame([("a", k, x) for k, x in enumerate(v)] + [("b", 0, 5.0)], "g string, k long, x double")
+    got = {(r["g"], r["k"]): r["rest"] for r in norms.subtract_moving_average(df, ["g"], "k", "x", 0.9).collect()}
+    m = v[0]
+    for k, x in enumerate(v):
+        m = m * 0.9 + x * 0.1
+        assert got["a", k] == pytest.approx(x - m)
+    assert got["b", 0] == pytest.approx(0)
+
+
+def test_queries_without_their_key_have_no_loss(spark):
+    q = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])], "g int, patch_id int, feat array<double>")
+    assert [r["patch_id"] for r in losses.patch_nce(q, q.filter("patch_id = 0"), ["g"]).collect()] == [0]
+
+
+def test_median_and_groups_with_nulls(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None), ("b", 9.0)], "g string, x double")
+    assert norms.exact_median(df, "x") == 2.5 and norms.exact_median(df.limit(0), "x") is None
+    rows = {(r["g"], r["x"]): r["normed"] for r in norms.standardise(df, ["g"], "x", 1e-12).collect()}
+    assert rows[None, 1.0] == pytest.approx(-1) and rows[None, 3.0] == pytest.approx(1) and len(rows) == 5
+
+
+def test_shared_folder_is_required_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from loomwright.plans.session import shared_root
+
+    conf = SimpleNamespace(get=lambda k, d: None)
+    for master, fine in (("local[4]", True), ("yarn", False), ("local-cluster[2,1,1024]", False), ("spark://host:7077", False)):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fine:
+            assert shared_root(session).startswith("file:")
+        else:
+            with pytest.raises(RuntimeError, match="checkpoint"):
+                shared_root(session)
+
+
+def test_images_by_folder(spark, tmp_path, monkeypatch):
+    """More files than are handed over one by one: their folders are scanned and joined with the list."""
+    from loomwright.sources import images
+
+    for k in range(6):
+        (tmp_path / f"i{k}.ppm").write_bytes(b"P6 2 1 255\n" + bytes([k] * 6))
+    files = spark.createDataFrame([(f"file:{tmp_path}/i{k}.ppm",) for k in (0, 2, 4)], "path string")
+    want = sorted(r["path"] for r in images.read_images(files).collect())
+    assert len(want) == 3
+    monkeypatch.setattr(images, "MOST_PATHS", 1)
+    assert sorted(r["path"] for r in images.read_images(files).collect()) == want
