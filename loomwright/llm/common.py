@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fallback for sessions without spark.checkpoint.dir, as in tests on one machine.
-LOCAL_SHARED = "file:///tmp/checkpoints"
+from loomwright.plans.session import shared_root
+
 #: Word separators: space and the ASCII controls tab to carriage return.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
@@ -23,9 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SHARED).rstrip("/")
+#: The folder for the tables of the work that goes on in this thread, if it has one of its own.
+_WORK: ContextVar[str | None] = ContextVar("work", default=None)
+
+
+@contextmanager
+def working(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A folder of its own for the tables that are materialized inside, removed at the end.
+
+    Gives a function that materializes outside of it: for what is to stay.
+    """
+    folder, kept = f"{_WORK.get() or shared_root(spark)}/{name}-{uuid.uuid4().hex}", _WORK.get()
+    token = _WORK.set(folder)
+    try:
+        yield lambda df: materialize(df, name, root=kept or shared_root(spark))
+    finally:
+        _WORK.reset(token)
+        _remove(spark, folder)
 
 
 #: Paths of the tables that this process has materialized, in order.
@@ -50,13 +66,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "zstd", root: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: a lost executor costs a re-read, never a recomputation.
 
     The reread table has file statistics, so Spark broadcasts it in a join only below its size threshold.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{root or _WORK.get() or shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
