@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomwright.llm import decontam, ngram_join, packing, pii, quality
-from loomwright.llm.common import discard, documents, made, materialize, sweep, table
+from loomwright.llm.common import discard, documents, table, working
 from loomwright.llm.queries import default_tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -54,8 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table; each stage's result is written as Parquet and read again by the next."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        before, source = made(), docs
-        docs = materialize(stage(spark, source, sf_dir), "stage-" + name.replace(" ", "-"))
-        sweep(spark, before, docs)
+        source = docs
+        with working(spark, "stage-" + name.replace(" ", "-")) as keep:
+            docs = keep(stage(spark, source, sf_dir))
         discard(source)
     return STAGES[-1][1](spark, docs, sf_dir)
