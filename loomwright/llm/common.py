@@ -44,23 +44,6 @@ def working(spark: SparkSession, name: str) -> Iterator[Callable[[DataFrame], Da
         _remove(spark, folder)
 
 
-#: Paths of the tables that this process has materialized, in order.
-_MADE: list[str] = []
-
-
-def sweep(spark: SparkSession, since: int, keep: DataFrame) -> None:
-    """Remove the tables materialized after the first `since` ones, but for `keep`: what led to it is no longer needed."""
-    kept = [p for p in _MADE[since:] if p == getattr(keep, "_shared_path", None)]
-    for path in _MADE[since:]:
-        if path not in kept:
-            _remove(spark, path)
-    _MADE[since:] = kept
-
-
-def made() -> int:
-    return len(_MADE)
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -74,7 +57,6 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd", root: str |
     spark = df.sparkSession
     path = f"{root or _WORK.get() or shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _MADE.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
