@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, hash_words, materialize, mix64, text_groups
+from .common import checked, discard, hash_words, materialize, mix64, text_groups
 
 #: Hashes that are no word's: any word outside a bounded vocabulary, and what stands before a text.
 OTHER, FIRST = np.uint64(0), np.uint64(1)
@@ -71,7 +71,7 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
 
 
 def hashed(docs: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """(doc_id, tokens): each text as uint64 word hashes; OTHER for those outside words, if given."""
+    """(doc_id, target, tokens): each text as uint64 word hashes; OTHER for those outside words, if given."""
 
     def run(batches):
         for b in batches:
@@ -81,9 +81,9 @@ def hashed(docs: DataFrame, words: np.ndarray | None) -> DataFrame:
                 known = np.ones(len(h), bool) if words is None else np.isin(h, words)
                 h = np.where(known, np.maximum(h, np.uint64(2)), OTHER)
                 out += [h[off[i] : off[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("target"), pa.array(out, pa.binary())], names=["doc_id", "target", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+    return docs.select("doc_id", "target", "text").mapInArrow(run, "doc_id long, target boolean, tokens binary")
 
 
 CHUNKS = "chunk long, ids array<long>, lengths array<int>, target array<boolean>, words binary, tokens binary"
@@ -245,9 +245,11 @@ def score(docs: DataFrame, target: DataFrame, words: int | None = None, chunk_to
     as often as they come; a null doc_id is no target; an empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marked = target.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("is_target")).filter(F.col("doc_id").isNotNull()).distinct()
-    tokens = hashed(rows, None if words is None else vocabulary(rows, words))
-    chunks = materialize(chunked(tokens.join(marked, "doc_id", "left").withColumn("target", F.coalesce("is_target", F.lit(False))), chunk_tokens), "lm-chunks", "none")
+    marked = target.select(F.col("doc_id").cast("long").alias("t_id")).filter(F.col("t_id").isNotNull()).distinct().withColumn("is_target", F.lit(True))
+    marked = checked(materialize(marked, "lm-target"))  # beyond its bound texts are shuffled, which are smaller than their hashes
+    aimed = rows.join(marked, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("target"))
+    tokens = hashed(aimed, None if words is None else vocabulary(rows, words))
+    chunks = materialize(chunked(tokens, chunk_tokens), "lm-chunks", "none")
     shards = int(min(65536, max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count())))
     got = materialize(answers(requests(chunks, shards)), "lm-answers", "none")
     return scored(chunks, got, *sizes(got))
