@@ -2,8 +2,8 @@
 
 Messages point at the message that they answer. Root-to-leaf paths are enumerated by self-joins that double their reach
 each round (after k rounds every message knows its ancestor 2^k steps up), so a conversation of d turns takes log2(d)
-joins, and only chosen branches are spelled out: one row for each message of each chosen path. Branches of a tree are
-ranked by the sum of their messages' scores. Each chosen path becomes one string by a template whose control strings are
+joins. Every leaf's path is spelled out, one row for each of its messages, before branches of a tree are
+ranked by the sum of their messages' scores: what is joined is proportional to the messages of all paths. Each chosen path becomes one string by a template whose control strings are
 escaped reversibly inside texts, with the spans of the loss mask. Only DataFrame functions.
 """
 
