@@ -504,6 +504,35 @@ def resize_dims(spark, sf_dir):
     return sized(spark, sf_dir).select("p_partkey", a.alias("width_w"), b.alias("width_h"), c.alias("short_w"), d.alias("short_h"), geometry.multiple_of(w).alias("four_w"), geometry.multiple_of(h).alias("four_h"))
 
 
+_FACTOR = "(0.8::DOUBLE + 0.2::DOUBLE * {} / 4294967296.0::DOUBLE)"
+
+
+@query(
+    f"WITH {_WH}, z AS (SELECT p_partkey, {_FACTOR.format(_DRAWN.format("p_partkey || ':zoom_w'"))} AS fw, {_FACTOR.format(_DRAWN.format("p_partkey || ':zoom_h'"))} AS fh FROM w) SELECT p_partkey, 286::BIGINT AS fixed_w, 143::BIGINT AS fixed_h, "
+    "CAST(round_even(greatest(256, 286 * fw), 0) AS BIGINT) AS zoom_w, CAST(round_even(greatest(256, 286 * fh), 0) AS BIGINT) AS zoom_h FROM z"
+)
+def zoom_dims(spark, sf_dir):
+    """A fixed size of half height, and sizes zoomed by a keyed factor for each axis."""
+    factor = lambda axis: F.lit(0.8) + F.lit(0.2) * pairing.keyed_draw("p_partkey", F.lit(f"zoom_{axis}")) / F.lit(2.0**32)
+    w, h = F.col("w"), F.col("h")
+    (a, b), (c, d) = geometry.resize(w, h, 286, half_height=True), geometry.zoom(w, h, 286, 256, factor("w"), factor("h"))
+    return sized(spark, sf_dir).select("p_partkey", a.alias("fixed_w"), b.alias("fixed_h"), c.alias("zoom_w"), d.alias("zoom_h"))
+
+
+@query(
+    f"WITH {_WH}, s AS (SELECT m, p_partkey, CASE m WHEN 'none' THEN w ELSE 286 END AS w, CASE m WHEN 'none' THEN h WHEN 'resize_and_crop' THEN 286 ELSE 286 * h // w END AS h FROM w, (SELECT unnest(['none', 'resize_and_crop', 'scale_width_and_crop']) AS m)) "
+    f"SELECT m AS mode, p_partkey, CAST({_DRAWN.format("p_partkey || ':x'")} % (greatest(0, w - 256) + 1) AS BIGINT) AS x, CAST({_DRAWN.format("p_partkey || ':y'")} % (greatest(0, h - 256) + 1) AS BIGINT) AS y, {_DRAWN.format("p_partkey || ':flip'")} >= 2147483648 AS flip FROM s"
+)
+def transform_params(spark, sf_dir):
+    """Crop place and flip of each image, for the size that each mode gives it."""
+    out = None
+    for mode in ("none", "resize_and_crop", "scale_width_and_crop"):
+        x, y, flip = geometry.params(F.col("w"), F.col("h"), 286, 256, mode, F.col("p_partkey"))
+        rows = sized(spark, sf_dir).select(F.lit(mode).alias("mode"), "p_partkey", x.alias("x"), y.alias("y"), flip.alias("flip"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @query(
     f"WITH {_WH}, g AS (SELECT *, w // 64 AS nw, h // 64 AS nh, {_DRAWN.format("p_partkey || ':x'")} AS dx, {_DRAWN.format("p_partkey || ':y'")} AS dy FROM w) SELECT p_partkey, CAST(dx % (w - nw * 64 + 1) + (p_partkey % (nw * nh)) // nh * 64 AS BIGINT) AS x, CAST(dy % (h - nh * 64 + 1) + (p_partkey % (nw * nh)) % nh * 64 AS BIGINT) AS y, CAST(nw AS BIGINT) AS nw, CAST(nh AS BIGINT) AS nh FROM g"
 )

@@ -7,9 +7,11 @@ import uuid
 import numpy as np
 from pyspark.sql import functions as F
 
-from loomwright.functions import networks, pixels
+from loomwright.functions import networks, pixels, text
+from loomwright.operators import pairing
 from loomwright.plans import experiments, options
 from loomwright.plans.session import durable, shared_root
+from loomwright.sources import images as sources
 from loomwright.sources import sinks
 from loomwright.streaming import image_pool
 
@@ -21,7 +23,21 @@ def _shared(spark, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query()
+def _draw(key: str) -> str:
+    return f"CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT)"
+
+
+#: Rows of each domain in order, one after the other in a recursive query: the pool is a list.
+_POOL = f"""
+WITH RECURSIVE e AS (SELECT event_type AS domain, event_id AS seq, user_id AS image, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n,
+  {_draw("'5:' || event_type || ':' || event_id || ':swap'")} > 2147483648 AS swap, {_draw("'5:' || event_type || ':' || event_id || ':which'")} % 50 AS k FROM events),
+r AS (SELECT DISTINCT domain, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS pool, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS image, CAST(NULL AS BIGINT) AS emitted FROM e
+  UNION ALL SELECT e.domain, e.n, CASE WHEN len(pool) < 50 THEN list_append(pool, e.image) WHEN e.swap THEN list_transform(pool, lambda x, i: CASE WHEN i = e.k + 1 THEN e.image ELSE x END) ELSE pool END,
+  e.seq, e.image, CASE WHEN len(pool) < 50 OR NOT e.swap THEN e.image ELSE pool[e.k + 1] END FROM r JOIN e ON e.domain = r.domain AND e.n = r.n + 1)
+SELECT domain, seq, image, emitted, emitted <> image AS replayed FROM r WHERE n > 0"""
+
+
+@query(_POOL)
 def image_pool_stream(spark, sf_dir):
     """The history buffer over the events as a stream, a domain for each event type."""
     rows = read(spark, sf_dir, "events").select(F.col("event_type").alias("domain"), F.col("event_id").alias("seq"), F.col("user_id").alias("image"))
@@ -44,11 +60,85 @@ def _pictures(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", "url").mapInArrow(run, f"page_id long, {pixels.IMAGE}")
 
 
-@query()
+def _tree(spark, sf_dir) -> str:
+    """A new folder with the pictures as PNG files: trainA holds those of even pages, trainB of odd ones."""
+    root = _shared(spark, "tree")
+    name = F.format_string("train%s/%05d", F.when(F.col("page_id") % 2 == 0, "A").otherwise("B"), "page_id")
+    sinks.write_images(_pictures(spark, sf_dir).withColumn("name", name), root).count()
+    return root
+
+
+def _named(images):
+    return images.withColumn("name", text.stem(F.col("path")))
+
+
+def _bytes(x):
+    """What to_tensor made of a byte, undone."""
+    return F.rint((x.cast("double") + 1) * 127.5).cast("long")
+
+
+#: A page's picture in SQL: its url's bytes in hex, over and over, as rows of red, green and blue.
+_PICTURE = "u AS (SELECT page_id, CASE WHEN coalesce(url, '') = '' THEN '-' ELSE url END AS url FROM pages), p AS (SELECT page_id, format('{:05d}', page_id) AS name, 'train' || CASE WHEN page_id % 2 = 0 THEN 'A' ELSE 'B' END AS domain, hex(encode(url)) AS x, strlen(url) AS n, CAST(24 + strlen(url) % 9 AS INTEGER) AS h, CAST(20 + strlen(url) % 7 AS INTEGER) AS w FROM u)"
+
+
+def _byte(at: str) -> str:
+    return f"CAST('0x' || substr(x, CAST(2 * (({at}) % n) + 1 AS BIGINT), 2) AS BIGINT)"
+
+
+@query(f"WITH {_PICTURE} SELECT domain, name, h AS height, w AS width, 3 AS channels, md5(unhex(substr(repeat(x, CAST(h * w * 3 // n + 1 AS BIGINT)), 1, h * w * 6))) AS digest FROM p")
+def image_round_trip(spark, sf_dir):
+    """Pictures written as files, listed below their root and decoded to RGB: size and digest of the pixels of each."""
+    images = _named(sources.read_images(sources.list_images(spark, _tree(spark, sf_dir))))
+    return images.select(F.element_at(F.split("path", "/"), -2).alias("domain"), "name", "height", "width", "channels", F.md5("data").alias("digest"))
+
+
+@query(f"WITH {_PICTURE}, g AS (SELECT name, w, h, x, n, unnest(range(w * h)) AS i FROM p) SELECT name, 1 AS c, any_value(h) AS h, any_value(w) AS w, CAST(sum((i % 97 + 1) * ((19595 * {_byte('3 * i')} + 38470 * {_byte('3 * i + 1')} + 7471 * {_byte('3 * i + 2')} + 32768) // 65536)) AS BIGINT) AS checksum FROM g GROUP BY name")
+def image_gray(spark, sf_dir):
+    """Files decoded to one channel of luma: size and a sum of the pixels that tells their places apart."""
+    t = pixels.tensors(_named(sources.read_images(sources.list_images(spark, _tree(spark, sf_dir)), gray=True)), "name")
+    return t.select("name", "c", "h", "w", _checksum(F.col("data")))
+
+
+def _checksum(data):
+    return F.aggregate(F.transform(data, lambda x, i: (i % 97 + 1) * _bytes(x)), F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum")
+
+
+_NUMBERED = "SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos, count(*) OVER () AS n FROM p WHERE domain = 'train{}'"
+
+
+@query(f"WITH {_PICTURE}, a AS ({_NUMBERED.format('A')}), b AS ({_NUMBERED.format('B')}), m AS (SELECT unnest(range((SELECT greatest(max(a.n), max(b.n)) FROM a, b WHERE a.pos = 0 AND b.pos = 0))) AS i) SELECT i, a.name AS name_a, b.name AS name_b FROM m JOIN a ON a.pos = i % a.n JOIN b ON b.pos = i % b.n")
+def two_domain_files(spark, sf_dir):
+    """Files of trainA and trainB in order of their paths, paired serially."""
+    a, b = sources.two_domains(spark, _tree(spark, sf_dir), "train")
+    return pairing.pair_modulo(a, b).select("i", text.stem(F.col("path_a")).alias("name_a"), text.stem(F.col("path_b")).alias("name_b"))
+
+
+@query(f"WITH {_PICTURE}, r AS (SELECT domain, name, row_number() OVER (PARTITION BY domain ORDER BY name) AS k FROM p) SELECT domain AS split, name || '.png' AS name FROM r WHERE k <= 7")
+def split_listing(spark, sf_dir):
+    """The first 7 files, by name, of each split folder."""
+    return sources.list_splits(spark, _tree(spark, sf_dir), 7).select("split", "name")
+
+
+@query(f"WITH {_PICTURE} SELECT src, row_number() OVER (PARTITION BY src ORDER BY name) - 1 AS pos, name FROM p, (SELECT unnest(['flat', 'glob']) AS src) WHERE domain = CASE src WHEN 'flat' THEN 'trainA' ELSE 'trainB' END")
+def folder_listing(spark, sf_dir):
+    """One folder's files directly below it, and another's by a glob, numbered in order."""
+    root = _tree(spark, sf_dir)
+    both = pairing.tagged_union(flat=sources.list_flat(spark, f"{root}/trainA"), glob=sources.list_glob(spark, f"{root}/trainB/*.png"))
+    return both.select("src", "pos", text.stem(F.col("path")).alias("name"))
+
+
+_CUT = f"""
+WITH {_PICTURE}, d AS (SELECT *, {_draw("'1:' || name || ':x'")} % (w - 15) AS x0, {_draw("'1:' || name || ':y'")} % (h - 15) AS y0, {_draw("'1:' || name || ':flip'")} >= 2147483648 AS f FROM p),
+i AS (SELECT *, unnest(range(768)) AS i FROM d), v AS (SELECT name, i, {_byte("((y0 + i % 256 // 16) * w + x0 + CASE WHEN f THEN 15 - i % 16 ELSE i % 16 END) * 3 + i // 256")} AS v FROM i)
+SELECT name, 3 AS c, 16 AS h, 16 AS w, min(v) AS low, max(v) AS high, CAST(sum((i % 97 + 1) * v) AS BIGINT) AS checksum FROM v GROUP BY name"""
+
+
+@query(_CUT)
 def image_decode_normalize(spark, sf_dir):
-    """Pictures through the transform pipeline to tensors: shape and range of each."""
-    t = pixels.tensors(pixels.transform_images(_pictures(spark, sf_dir), pixels.Transform(load_size=20, crop_size=16, seed=1), "page_id"), "page_id")
-    return t.select("page_id", "c", "h", "w", F.round(F.array_min("data"), 5).alias("low"), F.round(F.array_max("data"), 5).alias("high"))
+    """Files decoded, cut at keyed places, flipped by a keyed draw and made tensors: size, range and checksum of each, as bytes."""
+    images = _named(sources.read_images(sources.list_images(spark, _tree(spark, sf_dir))))
+    t = pixels.tensors(pixels.transform_images(images, pixels.Transform(preprocess="crop", crop_size=16, seed=1), "name"), "name")
+    return t.select("name", "c", "h", "w", _bytes(F.array_min("data")).alias("low"), _bytes(F.array_max("data")).alias("high"), _checksum(F.col("data")))
 
 
 @query()
@@ -59,14 +149,18 @@ def image_translate(spark, sf_dir):
     return out.select("page_id", "c", "h", "w", F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x) / F.size("data"), 4).alias("mean"))
 
 
-@query()
+@query(f"WITH {_PICTURE} SELECT 'real/' || name AS name, CAST(floor(w * 1.5) AS BIGINT) AS width, CAST(h AS BIGINT) AS height, true AS whole FROM p")
 def image_sink(spark, sf_dir):
-    """Pictures written as PNG files into the shared folder: name and size of each."""
-    rows = _pictures(spark, sf_dir).withColumn("name", F.format_string("real/%05d", "page_id"))
-    return durable(sinks.write_images(rows, _shared(spark, "images")))
+    """Pictures stretched to an aspect of 1.5 and written as PNG files: name, size in the file's header, whether the file is as long as was told."""
+    root = _shared(spark, "images")
+    told = durable(sinks.write_images(_pictures(spark, sf_dir).withColumn("name", F.format_string("real/%05d", "page_id")), root, aspect=1.5))
+    files = spark.read.format("binaryFile").load(f"{root}/real/*.png")
+    number = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("long")
+    found = files.select(F.concat(F.lit("real/"), text.stem(F.col("path"))).alias("name"), number(17).alias("width"), number(21).alias("height"), F.length("content").alias("length"))
+    return told.join(found, "name").select("name", "width", "height", (F.col("bytes") == F.col("length")).alias("whole"))
 
 
-@query()
+@query(f"WITH {_PICTURE} SELECT CAST(page_id AS VARCHAR) AS name, h AS height, 2 * w AS width, 3 AS channels FROM p")
 def side_by_side(spark, sf_dir):
     """Each picture left of itself."""
     x = F.struct("height", "width", "channels", "data")
