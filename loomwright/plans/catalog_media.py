@@ -12,7 +12,7 @@ from loomwright.operators import pairing
 from loomwright.plans import experiments, options
 from loomwright.plans.session import durable, shared_root
 from loomwright.sources import images as sources
-from loomwright.sources import sinks
+from loomwright.sources import sinks, weights
 from loomwright.streaming import image_pool
 
 from .catalog import query, read
@@ -149,6 +149,27 @@ def image_translate(spark, sf_dir):
     return out.select("page_id", "c", "h", "w", F.round(F.aggregate("data", F.lit(0.0), lambda s, x: s + x) / F.size("data"), 4).alias("mean"))
 
 
+@query(
+    "WITH s AS (SELECT unnest(['G', 'G', 'G', 'G', 'U', 'U', 'U', 'U', 'U', 'U', 'U', 'U']) AS net, unnest(['stem.w', 'stem.b', 'out.w', 'out.b', 'down.0.w', 'down.0.b', 'up.0.w', 'up.0.b', 'down.1.w', 'down.1.b', 'up.1.w', 'up.1.b']) AS param, "
+    "unnest(['4,3,7,7', '4', '3,4,7,7', '3', '4,3,4,4', '4', '8,3,4,4', '3', '8,4,4,4', '8', '8,4,4,4', '4']) AS shape, unnest([588, 4, 588, 3, 192, 4, 384, 3, 512, 8, 512, 4]) AS n) SELECT net, param, shape, CAST(n AS BIGINT) AS n, CAST(n * (n - 1) / 2 AS DOUBLE) AS total FROM s"
+)
+def weight_files(spark, sf_dir):
+    """Weights of two small networks, counted up from 0, written and read again: shape, count and sum of each parameter."""
+    root = _shared(spark, "weights")
+    shapes = {"G": networks.generator_shapes(width=4, blocks=0, down=0), "U": networks.unet_shapes(width=4, halvings=2)}
+    weights.save_weights(spark, {net: {k: np.arange(np.prod(x), dtype=float).reshape(x) for k, x in named.items()} for net, named in shapes.items()}, root)
+    both = pairing.tagged_union(**{net: weights.weight_table(spark, root, net) for net in shapes})
+    total = F.aggregate("data", F.lit(0.0), lambda s, x: s + x)
+    return both.select(F.col("src").alias("net"), "param", F.array_join(F.col("shape").cast("array<string>"), ",").alias("shape"), F.size("data").cast("long").alias("n"), total.alias("total"))
+
+
+@query("SELECT CAST(event_id + 0.5 AS DOUBLE) AS x, CASE WHEN event_type = 'view' THEN value END AS view, CASE WHEN event_type = 'click' THEN value END AS click FROM events")
+def loss_series(spark, sf_dir):
+    """Curves over epoch and fraction, a column for each of two names; other names only make x."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("epoch"), F.lit(0.5).alias("fraction"), F.col("event_type").alias("name"), "value")
+    return sinks.loss_series(e, ["view", "click"])
+
+
 @query(f"WITH {_PICTURE} SELECT 'real/' || name AS name, CAST(floor(w * 1.5) AS BIGINT) AS width, CAST(h AS BIGINT) AS height, true AS whole FROM p")
 def image_sink(spark, sf_dir):
     """Pictures stretched to an aspect of 1.5 and written as PNG files: name, size in the file's header, whether the file is as long as was told."""
