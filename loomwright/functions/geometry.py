@@ -22,6 +22,13 @@ def multiple_of(size: Column, base: int = 4) -> Column:
     return round_even(size / base) * base
 
 
+def size_note(w: Column, h: Column, base: int = 4) -> Column:
+    """A warning for an image whose sides are no multiples of base; null for others. Its least one, if any, warns once for a table."""
+    new_w, new_h = multiple_of(w, base), multiple_of(h, base)
+    text = F.format_string(f"The image size needs to be a multiple of {base}. The loaded image size was (%d, %d), so it was adjusted to (%d, %d).", w, h, new_w, new_h)
+    return F.when((new_w != w) | (new_h != h), text)
+
+
 def resize(w: Column, h: Column, load: int, half_height: bool = False) -> tuple[Column, Column]:
     """A fixed size whatever the aspect; half_height halves the height."""
     return F.lit(load).cast("long"), F.lit(load // 2 if half_height else load).cast("long")

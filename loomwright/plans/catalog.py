@@ -533,6 +533,16 @@ def transform_params(spark, sf_dir):
     return out
 
 
+@query(
+    f"WITH {_WH}, n AS (SELECT w, h, CAST(round_even(w / 4.0::DOUBLE, 0) * 4 AS BIGINT) AS a, CAST(round_even(h / 4.0::DOUBLE, 0) * 4 AS BIGINT) AS b FROM w) "
+    "SELECT min('The image size needs to be a multiple of 4. The loaded image size was (' || w || ', ' || h || '), so it was adjusted to (' || a || ', ' || b || ').') AS note, count(*) AS images FROM n WHERE a <> w OR b <> h"
+)
+def size_warning(spark, sf_dir):
+    """One warning for all images that are adjusted to multiples of 4, and their number."""
+    note = geometry.size_note(F.col("w"), F.col("h"))
+    return sized(spark, sf_dir).agg(F.min(note).alias("note"), F.count(note).alias("images"))
+
+
 @query(
     f"WITH {_WH}, g AS (SELECT *, w // 64 AS nw, h // 64 AS nh, {_DRAWN.format("p_partkey || ':x'")} AS dx, {_DRAWN.format("p_partkey || ':y'")} AS dy FROM w) SELECT p_partkey, CAST(dx % (w - nw * 64 + 1) + (p_partkey % (nw * nh)) // nh * 64 AS BIGINT) AS x, CAST(dy % (h - nh * 64 + 1) + (p_partkey % (nw * nh)) % nh * 64 AS BIGINT) AS y, CAST(nw AS BIGINT) AS nw, CAST(nh AS BIGINT) AS nh FROM g"
 )

@@ -197,6 +197,15 @@ def experiment_commands(spark, sf_dir):
     return experiments.layout(experiments.commands(spark, "demo", {"model": "main"}, runs), 4).select("id", "phase", "command", "win", "pane")
 
 
+@query(
+    "SELECT i AS id, d AS devices, 'CUDA_VISIBLE_DEVICES=' || d || ' python train.py --gpu_ids ' || g || ' --model main --name run' || i || '_exp' AS command FROM (SELECT unnest(range(4)) AS i, unnest(['0,1', '2', '3,4,5', '6']) AS d, unnest(['0,1', '0', '0,1,2', '0']) AS g)"
+)
+def device_commands(spark, sf_dir):
+    """Four runs, each on as many of eight free devices as its options name."""
+    runs = [{"name": f"run{i}_exp", "gpu_ids": g} for i, g in enumerate(("0,1", "0", "0,1,2", "0"))]
+    return experiments.on_devices(experiments.commands(spark, "demo", {"model": "main"}, runs, ("train",)), [str(n) for n in range(8)]).select("id", "devices", "command")
+
+
 @query(
     "SELECT i AS id, 'run' || i || '_exp' AS name, 'latest' AS epoch, './results/run' || i || '_exp/test_latest/' AS results FROM (SELECT unnest(range(1, 6, 2)) AS i)"
 )
@@ -206,7 +215,26 @@ def experiment_names(spark, sf_dir):
     return experiments.names(experiments.select(c, [1, 3, 5])).select("id", "name", "epoch", "results")
 
 
-@query()
+# The options' defaults as text, by key, and what the fast mode changes.
+_DEFAULTS = (
+    "batch_size=1|beta1=0.5|beta2=0.999|checkpoints_dir=./checkpoints|continue_train=False|contrast_mode=full|crop_size=256|dataroot=placeholder|"
+    "dataset_mode=unaligned|direction=AtoB|display_env=main|display_freq=400|display_id=None|display_ncols=4|display_port=8097|"
+    "display_server=http://localhost|display_winsize=256|easy_label=experiment_name|epoch=latest|epoch_count=1|evaluation_freq=5000|flip_equivariance=False|"
+    "gan_mode=lsgan|gpu_ids=0|init_gain=0.02|init_type=xavier|input_nc=3|lambda_GAN=1.0|lambda_NCE=1.0|load_size=286|lr=0.0002|lr_decay_iters=50|"
+    "lr_policy=linear|max_dataset_size=None|model=main|n_epochs=200|n_epochs_decay=200|n_layers_D=3|name=experiment_name|nce_T=0.07|nce_idt=False|"
+    "nce_includes_all_negatives_from_minibatch=False|nce_layers=0,4,8,12,16|ndf=64|netD=basic|netF=mlp_sample|netF_nc=256|netG=resnet_9blocks|ngf=64|"
+    "no_antialias=False|no_antialias_up=False|no_dropout=True|no_flip=False|no_html=False|normD=instance|normG=instance|num_patches=256|num_threads=4|"
+    "output_nc=3|phase=train|pool_size=50|preprocess=resize_and_crop|pretrained_name=None|print_freq=100|random_scale_max=3.0|save_by_iter=False|"
+    "save_epoch_freq=5|save_latest_freq=5000|serial_batches=False|stylegan2_G_num_downsampling=1|suffix=|update_html_freq=1000|verbose=False"
+)
+_FAST = "contrast_mode=fast|flip_equivariance=True|lambda_NCE=10.0|n_epochs=150|n_epochs_decay=50|pool_size=0"
+_PAIRS = "SELECT split_part(x, '=', 1) AS key, split_part(x, '=', 2) AS value FROM (SELECT unnest(string_split('{}', '|')) AS x)"
+
+
+@query(
+    f"WITH d AS ({_PAIRS.format(_DEFAULTS)}), c AS ({_PAIRS.format(_FAST)}), v AS (SELECT d.key, coalesce(c.value, d.value) AS value, d.value AS default_value FROM d LEFT JOIN c USING (key)) "
+    "SELECT key, value, default_value AS \"default\", lpad(key, 25, ' ') || ': ' || rpad(value, 30, ' ') || CASE WHEN value = default_value THEN '' ELSE chr(9) || '[default: ' || default_value || ']' END AS line FROM v"
+)
 def options_dump(spark, sf_dir):
     """Resolved options of the fast mode, by key, with what differs from the defaults."""
     return options.dump(spark, options.resolve({"contrast_mode": "fast"}), options.declared())

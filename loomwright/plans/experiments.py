@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomwright.functions.text import common_prefix, grab, render_options
 from loomwright.operators.batching import panes
+from loomwright.operators.pairing import prefix_sums
 
 
 def merge(base: Column, over: Column, removed: Column | None = None) -> Column:
@@ -39,6 +40,19 @@ def layout(rows: DataFrame, per_window: int) -> DataFrame:
     return rows.withColumns({"win": w, "pane": p})
 
 
+def on_devices(rows: DataFrame, free: list[str]) -> DataFrame:
+    """Commands (id, command) with devices: each takes as many as its --gpu_ids names (1 without), in order of id, from the free ones.
+
+    The devices are put before the command. A command for which too few are left raises when read.
+    """
+    wanted = F.size(F.split(F.coalesce(grab(F.col("command"), r"--gpu_ids ([\d,]+)"), F.lit("0")), ","))
+    taken = prefix_sums(rows.withColumn("__n", wanted), ["id"], "__n", "__upto")
+    short = F.raise_error(F.concat(F.col("__n").cast("string"), F.lit(" device(s) required for "), "command")).cast("array<string>")
+    given = F.when(F.col("__upto") > len(free), short).otherwise(F.slice(F.array(*map(F.lit, free)).cast("array<string>"), (F.col("__upto") - F.col("__n") + 1).cast("int"), F.col("__n")))
+    out = taken.withColumn("devices", F.array_join(given, ",")).drop("__n", "__upto")
+    return out.withColumn("command", F.concat(F.lit("CUDA_VISIBLE_DEVICES="), "devices", F.lit(" "), "command"))
+
+
 def names(rows: DataFrame) -> DataFrame:
     """(id, phase, name, epoch, label, results): what comparison pages need; epoch defaults to latest, label to the name."""
     c = F.col("command")
