@@ -228,6 +228,11 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
+def base_digest(spans: Column) -> Column:
+    """Lowercase hex SHA-256 of the spans as kind:start:end, joined by commas."""
+    return F.sha2(_written(spans), 256)
+
+
 def _treated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The findings of all documents, and the rows (doc_id, text, h_id, h_key, puts) of those that hold a disclosive term."""
     found = materialize(findings(docs), "pii-found")
@@ -248,7 +253,7 @@ def detect(docs: DataFrame) -> DataFrame:
     places = materialize(rows.join(held, same).select("h_id", "h_key", _places(F.col("text"), F.col("puts")).alias("more")).dropDuplicates(["h_id", "h_key"]), "pii-places")
     full = found.select("doc_id", "key", "spans").join(places, same, "left").select("doc_id", "spans", F.coalesce("more", F.array().cast(SPAN)).alias("more"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["k"] == k)).cast("long").alias(f"n_{k}")
-    return full.select("doc_id", *(count(k) for k in KINDS), F.sha2(_written(F.col("spans")), 256).alias("base_sha256"), _written(F.array_sort(F.concat("spans", "more"))).alias("spans"), F.size("more").cast("long").alias("n_term"))
+    return full.select("doc_id", *(count(k) for k in KINDS), base_digest(F.col("spans")).alias("base_sha256"), _written(F.array_sort(F.concat("spans", "more"))).alias("spans"), F.size("more").cast("long").alias("n_term"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

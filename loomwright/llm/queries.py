@@ -1,4 +1,4 @@
-"""One query for each corpus operator over its whole table, and the DuckDB SQL where SQL can express it."""
+"""One query for each corpus operator over its whole table, those of base_queries, and the DuckDB SQL where SQL can express it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, lmscore, ngram_join, packing, pii, quality, toxicity, urls
+from . import base_queries, chat, decontam, langid, lmscore, ngram_join, packing, pii, quality, toxicity, urls
 from .common import documents, table
 
 
@@ -68,8 +68,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_language, op4_chat, op5_decontamination, op6_urls, op7_lm_score, op8_quality, op9_toxicity, op10_packing)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_pii, op3_language, op4_chat, op5_decontamination, op6_urls, op7_lm_score, op8_quality, op9_toxicity, op10_packing)} | base_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.ORACLE, "op4_chat": chat.ORACLE}
+    return {"op1_ngram_join": ngram_join.ORACLE, "op4_chat": chat.ORACLE} | base_queries.ORACLES
