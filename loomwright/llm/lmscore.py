@@ -253,3 +253,23 @@ def score(docs: DataFrame, target: DataFrame, words: int | None = None, chunk_to
     shards = int(min(65536, max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count())))
     got = materialize(answers(requests(chunks, shards)), "lm-answers", "none")
     return scored(chunks, got, *sizes(got))
+
+
+def _loss(pair: str, context: str, word: str, size: str) -> str:
+    return f"ln(CAST({INTERPOLATION} AS DOUBLE) * {pair} / greatest({context}, 1) + CAST({1 - INTERPOLATION} AS DOUBLE) * ({word} + CAST({PSEUDO} AS DOUBLE)) / ({size} + CAST({PSEUDO} AS DOUBLE) * kinds))"
+
+
+#: DuckDB SQL for the scores of documents against those labelled as of quality 1, rounded to 6 decimals. '' stands before a text.
+ORACLE = rf"""
+WITH g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL),
+x AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id IN (SELECT doc_id FROM g), false) AS aim,
+  regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[!-/:-@\[-`{{-~]', '', 'g'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT r, aim, unnest(w) AS w, unnest(range(len(w))) AS i FROM x),
+b AS (SELECT r, aim, w, coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), '') AS v FROM e),
+p AS (SELECT v, w, count(*) AS n, count(*) FILTER (aim) AS t FROM b GROUP BY v, w),
+c AS (SELECT v, sum(n) AS cn, sum(t) AS ct FROM p GROUP BY v),
+s AS (SELECT w, sum(n) AS sn, sum(t) AS st FROM p GROUP BY w),
+z AS (SELECT sum(sn) AS zn, sum(st) AS zt, count(*) AS kinds FROM s),
+d AS (SELECT p.v, p.w, {_loss("n", "cn", "sn", "zn")} - {_loss("t", "ct", "st", "zt")} AS diff FROM p JOIN c USING (v) JOIN s USING (w), z),
+m AS (SELECT r, round(avg(diff), 6) AS ce_diff FROM b JOIN d USING (v, w) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, ce_diff FROM x LEFT JOIN m USING (r)"""

@@ -4,13 +4,14 @@ import math
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 
 from loomwright.llm import langid, lmscore, toxicity
 from loomwright.llm.common import hash_words
-from loomwright.llm.queries import op3_language, op7_lm_score, op9_toxicity
+from loomwright.llm.queries import op3_language, op7_lm_score, op9_toxicity, oracle_sql
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double"
 VOCAB = public_tokenizers.path("piece_bpe_32k.model")
@@ -181,6 +182,15 @@ def test_lm_scores_equal_brute_force(spark, chunk):
     assert lmscore.score(df.limit(0), target).count() == 0
 
 
+def test_lm_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(oracle_sql()["op7_lm_score"])
+    got = op7_lm_score(spark, sf).select(*want.columns).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want.fetchall(), key=repr)
+
+
 def test_lm_query(spark, sf):
     rows = op7_lm_score(spark, sf).collect()
     good = {r["doc_id"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] == 1}
