@@ -70,27 +70,27 @@ def vocabulary(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
 
 
-def hashed(docs: DataFrame, words: np.ndarray | None) -> DataFrame:
-    """(doc_id, target, tokens): each text as uint64 word hashes; OTHER for those outside words, if given."""
+def hashed(batches, words: np.ndarray | None, rows: int = 512) -> Iterator[tuple]:
+    """(doc_id, target, tokens) of each row: its text as uint64 word hashes; OTHER for those outside words, if given.
 
-    def run(batches):
-        for b in batches:
-            texts, out = b.column("text").to_pylist(), []
+    Texts leave Arrow some rows at a time, so that a batch is not held twice.
+    """
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            ids, target, texts = (b.column(c).slice(at, rows).to_pylist() for c in ("doc_id", "target", "text"))
             for lo, hi in text_groups(texts):
                 h, off = hash_words(texts[lo:hi], normalised=True)
                 known = np.ones(len(h), bool) if words is None else np.isin(h, words)
                 h = np.where(known, np.maximum(h, np.uint64(2)), OTHER)
-                out += [h[off[i] : off[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("target"), pa.array(out, pa.binary())], names=["doc_id", "target", "tokens"])
-
-    return docs.select("doc_id", "target", "text").mapInArrow(run, "doc_id long, target boolean, tokens binary")
+                for i in range(lo, hi):
+                    yield ids[i], target[i], h[off[i - lo] : off[i - lo + 1]].tobytes()
 
 
 CHUNKS = "chunk long, ids array<long>, lengths array<int>, target array<boolean>, words binary, tokens binary"
 
 
-def chunked(rows: DataFrame, size: int) -> DataFrame:
-    """Documents of one task in chunks of about `size` tokens; a longer document is a chunk of its own.
+def chunked(docs: DataFrame, words: np.ndarray | None, size: int) -> DataFrame:
+    """Documents (doc_id, target, text) of one task in chunks of about `size` tokens; a longer document is a chunk of its own.
 
     tokens are places in words, the chunk's distinct hashes. Arrays inside rows are compressed here, so tables of them are
     written as they are.
@@ -102,25 +102,24 @@ def chunked(rows: DataFrame, size: int) -> DataFrame:
         number, ids, target, blobs, n = TaskContext.get().partitionId() << 32, [], [], [], 0
 
         def row():
-            words, at = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
+            distinct, at = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) // 8 for x in blobs]], pa.list_(pa.int32())), pa.array([target], pa.list_(pa.bool_())), *(pa.array([_zip(x)], pa.binary()) for x in (words, at.astype(np.uint32)))],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([[len(x) // 8 for x in blobs]], pa.list_(pa.int32())), pa.array([target], pa.list_(pa.bool_())), *(pa.array([_zip(x)], pa.binary()) for x in (distinct, at.astype(np.uint32)))],
                 names=[x.split()[0] for x in CHUNKS.split(", ")],
             )
 
-        for b in batches:
-            for i, t, x in zip(b.column("doc_id").to_pylist(), b.column("target").to_pylist(), b.column("tokens").to_pylist(), strict=True):
-                if n and n + len(x) // 8 > size:
-                    yield row()
-                    number, ids, target, blobs, n = number + 1, [], [], [], 0
-                ids.append(i)
-                target.append(t)
-                blobs.append(x)
-                n += len(x) // 8
+        for i, t, x in hashed(batches, words):
+            if n and n + len(x) // 8 > size:
+                yield row()
+                number, ids, target, blobs, n = number + 1, [], [], [], 0
+            ids.append(i)
+            target.append(t)
+            blobs.append(x)
+            n += len(x) // 8
         if ids:
             yield row()
 
-    return rows.select("doc_id", "target", "tokens").mapInArrow(run, CHUNKS)
+    return docs.select("doc_id", "target", "text").mapInArrow(run, CHUNKS)
 
 
 def events(words: np.ndarray, tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -248,8 +247,7 @@ def score(docs: DataFrame, target: DataFrame, words: int | None = None, chunk_to
     marked = target.select(F.col("doc_id").cast("long").alias("t_id")).filter(F.col("t_id").isNotNull()).distinct().withColumn("is_target", F.lit(True))
     marked = checked(materialize(marked, "lm-target"))  # beyond its bound texts are shuffled, which are smaller than their hashes
     aimed = rows.join(marked, F.col("doc_id") == F.col("t_id"), "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("target"))
-    tokens = hashed(aimed, None if words is None else vocabulary(rows, words))
-    chunks = materialize(chunked(tokens, chunk_tokens), "lm-chunks", "none")
+    chunks = materialize(chunked(aimed, None if words is None else vocabulary(rows, words), chunk_tokens), "lm-chunks", "none")
     shards = int(min(65536, max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), chunks.count())))
     got = materialize(answers(requests(chunks, shards)), "lm-answers", "none")
     return scored(chunks, got, *sizes(got))
